@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op9_best_fit_packing
+from .pii import op10_pii_bootstrap
 from .quality import ORACLE as QUALITY_SQL
 from .quality import op8_quality_rules
 from .simhash import op6_simhash_near_dedup
@@ -10,7 +11,7 @@ from .tokenfile import op4_token_files
 
 
 def queries():
-    return {f.__name__: f for f in (op4_token_files, op6_simhash_near_dedup, op8_quality_rules, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op4_token_files, op6_simhash_near_dedup, op8_quality_rules, op9_best_fit_packing, op10_pii_bootstrap)}
 
 
 def oracle_sql():
