@@ -6,12 +6,14 @@ from .packing import op9_best_fit_packing
 from .pii import op10_pii_bootstrap
 from .quality import ORACLE as QUALITY_SQL
 from .quality import op8_quality_rules
+from .secrets import op2_secret_scan
 from .simhash import op6_simhash_near_dedup
 from .tokenfile import op4_token_files
+from .wordpiece import op5_token_counts
 
 
 def queries():
-    return {f.__name__: f for f in (op4_token_files, op6_simhash_near_dedup, op8_quality_rules, op9_best_fit_packing, op10_pii_bootstrap)}
+    return {f.__name__: f for f in (op2_secret_scan, op4_token_files, op5_token_counts, op6_simhash_near_dedup, op8_quality_rules, op9_best_fit_packing, op10_pii_bootstrap)}
 
 
 def oracle_sql():
