@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 VOCAB = "byte_bpe_50k.json"
-CACHE_WORDS, RUN = 700_000, 512
+CACHE_WORDS, RUN = 800_000, 256
 #: Two white-space characters in a row: only there can a split at single spaces differ from the library's own split.
 ODD = re.compile(r"\s\s")
 
@@ -23,8 +23,8 @@ class WordEncoder:
     """encode(texts) -> (ids of all texts, number of ids of each text), equal to the library's encode of each text.
 
     The vocabulary's splitting pattern always splits before a single space between two visible characters, so a text's
-    ids are those of its space-led words one after another. Words are encoded once and looked up afterwards; the table
-    of words is emptied at CACHE_WORDS entries. Texts with two white-space characters in a row go to the library whole.
+    ids are those of its space-led words one after another. Words are encoded once and looked up afterwards; a full table
+    (CACHE_WORDS) takes no more words, and starts anew when it no longer knows half of a batch's words. Texts with two white-space characters in a row go to the library whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -42,51 +42,58 @@ class WordEncoder:
 
     def clear(self):
         class Table(dict):
-            """Words to row numbers; unseen words get the next number and wait in `pending`."""
+            """Words to row numbers; unseen words get the next number and wait."""
+
+            def __init__(table):
+                table.rows, table.words = [], []
 
             def __missing__(table, word):
-                self.pending.append(table.prefix + word)
                 table[word] = row = self.rows
                 self.rows += 1
+                table.rows.append(row)
+                table.words.append(word)
                 return row
 
-        self.rows, self.pending, self.flat = 0, [], [np.empty(0, np.uint32)]
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.led, self.first = Table(), Table()
-        self.led.prefix, self.first.prefix = " ", ""
+        self.rows, self.flat = 0, [np.empty(0, np.uint32)]
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.led, self.first = Table(), Table()  # words behind a space, and words that begin a text
 
-    def _add(self, words: list[tuple[int, str]]) -> None:
-        """Encodes (row, word) pairs: several space-led words in one call, told apart by their leading spaces."""
-        ids = np.array(self.lib.encode("".join(w for _, w in words), add_special_tokens=False).ids, np.uint32)
+    def _add(self, rows: list[int], words: list[str], lead: str) -> None:
+        """Encodes words that wait: space-led ones many in one call, told apart by their leading spaces."""
+        ids = np.array(self.lib.encode(lead + lead.join(words), add_special_tokens=False).ids, np.uint32)
         starts = np.flatnonzero(self.leads[ids]) if len(words) > 1 else np.zeros(1, np.int64)
-        if len(starts) != len(words):  # a word with white space at an end
-            self._add(words[: len(words) // 2])
-            self._add(words[len(words) // 2 :])
+        if len(starts) != len(words):
+            half = len(words) // 2
+            self._add(rows[:half], words[:half], lead)
+            self._add(rows[half:], words[half:], lead)
             return
-        at = sum(map(len, self.flat))
-        rows = [row for row, _ in words]
-        self.start[rows] = at + starts
+        self.start[rows] = self.filled + starts
         self.size[rows] = np.diff(np.append(starts, len(ids)))
         self.flat.append(ids)
+        self.filled += len(ids)
 
     def _settle(self) -> np.ndarray:
-        if self.pending:
-            more = len(self.pending)
-            self.start, self.size = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.start, self.size))
-            waiting = list(zip(range(self.rows - more, self.rows), self.pending))
-            self.pending = []
-            led = [x for x in waiting if x[1][0] == " " and x[1].strip() == x[1][1:]]
-            for k in range(0, len(led), RUN):
-                self._add(led[k : k + RUN])
-            for x in waiting:
-                if not (x[1][0] == " " and x[1].strip() == x[1][1:]):
-                    self._add([x])
+        if more := self.rows - len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.start, self.size))
+            self.filled = len(self.flat[0])
+            for table, lead, run in ((self.led, " ", RUN), (self.first, "", 1)):
+                for k in range(0, len(table.rows), run):
+                    self._add(table.rows[k : k + run], table.words[k : k + run], lead)
             self.flat = [np.concatenate(self.flat)]
         return self.flat[0]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.rows > CACHE_WORDS:
+    def _forget(self, rows: int, filled: int, looked_up: int) -> None:
+        """Drops this batch's new words, or all of them if most words of the batch were new."""
+        if 2 * (self.rows - rows) > looked_up:
             self.clear()
+            return
+        for table in (self.led, self.first):
+            for word in table.words:
+                del table[word]
+        self.rows, self.start, self.size, self.flat = rows, self.start[:rows].copy(), self.size[:rows].copy(), [self.flat[0][:filled].copy()]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        before = self.rows, len(self.flat[0])
         words: list[int] = []
         counts = np.zeros(len(texts), np.int64)
         whole = {}
@@ -97,11 +104,11 @@ class WordEncoder:
                 whole[k] = np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             first, *rest = text.split(" ")
-            before = len(words)
+            had = len(words)
             if first:
                 words.append(self.first[first])
             words.extend(map(self.led.__getitem__, rest))
-            counts[k] = len(words) - before
+            counts[k] = len(words) - had
         flat = self._settle()
         rows = np.array(words, np.int64)
         sizes = self.size[rows]
@@ -109,6 +116,10 @@ class WordEncoder:
         ids = flat[np.repeat(self.start[rows] - upto[:-1], sizes) + np.arange(upto[-1])]
         last = np.cumsum(counts)
         n = upto[last] - upto[last - counts]
+        if self.rows > CACHE_WORDS:
+            self._forget(*before, len(words))
+        for table in (self.led, self.first):
+            table.rows, table.words = [], []
         if not whole:
             return ids, n
         parts, at = [], np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
