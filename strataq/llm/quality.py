@@ -26,9 +26,9 @@ SPREAD, MIN_GROUP, MAX_BROADCAST_GROUPS = 6, 200, 100_000
 #: measure: (SQL of an integer, slack, has a low fence)
 MEASURES = {
     "symbol_permille": ("n_symbols * 1000 div greatest(word_chars, 1)", 50, False),
-    "dup_line_permille": ("n_dup_lines * 1000 div greatest(n_words, 1)", 40, False),
-    "repeat_permille": ("n_repeat_words * 1000 div greatest(n_words, 1)", 100, False),
-    "word_len_percent": ("word_chars * 100 div greatest(n_words, 1)", 150, True),
+    "dup_line_permille": ("n_dup_lines * 1000 div greatest(n_words, 1)", 150, False),
+    "repeat_permille": ("n_repeat_words * 1000 div greatest(n_words, 1)", 200, False),
+    "word_len_percent": ("word_chars * 100 div greatest(n_words, 1)", 250, True),
 }
 SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
 _COVER = """
