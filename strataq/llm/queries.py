@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontamination
+from .katz import op1_katz_scores
 from .packing import op9_best_fit_packing
 from .pii import op10_pii_bootstrap
 from .quality import ORACLE as QUALITY_SQL
@@ -14,7 +15,7 @@ from .wordpiece import op5_token_counts
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op3_decontamination, op4_token_files, op5_token_counts, op6_simhash_near_dedup, op8_quality_rules, op9_best_fit_packing, op10_pii_bootstrap)}
+    return {f.__name__: f for f in (op1_katz_scores, op2_secret_scan, op3_decontamination, op4_token_files, op5_token_counts, op6_simhash_near_dedup, op8_quality_rules, op9_best_fit_packing, op10_pii_bootstrap)}
 
 
 def oracle_sql():
