@@ -27,14 +27,13 @@ empty result.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .scratch import fresh_path, ship
+from .packed import bucketed, columns_of, narrow, pack_sorted, requests, squeeze, store, swell, to_table, unpack_sorted
+from .scratch import ship
 
 CUT, BLOCK_BYTES, BUCKET_KEYS = 5, 15_000_000, 1_000_000
 START, END = 0x5851F42D4C957F2D, b"\n"
@@ -43,37 +42,6 @@ REQUEST = "bucket long, block long, keys binary, counts binary"
 ANSWER = "kind string, bucket long, block long, keys binary, counts binary, totals array<long>"
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """An integer or float array as compressed byte planes."""
-    import zstandard
-
-    width = a.dtype.itemsize
-    head = bytes([ord(a.dtype.kind), width])
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, width).T.copy() if len(a) else np.empty(0, np.uint8)
-    return head + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def swell(data: bytes) -> np.ndarray:
-    import zstandard
-
-    kind, width = chr(data[0]), data[1]
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<{kind}{width}").ravel() if len(raw) else np.empty(0, f"<{kind}{width}")
-
-
-def narrow(a: np.ndarray) -> np.ndarray:
-    """Unsigned integers in the least width that holds them."""
-    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return squeeze(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(swell(data), dtype=np.uint64)
-
-
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of ordered pairs of hashes."""
     with np.errstate(over="ignore"):
@@ -82,38 +50,6 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ x >> np.uint64(29)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are equal ranges of hashes, so sorted keys have sorted buckets."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def requests(block: int, keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> list[dict]:
-    """Request rows for sorted keys and their columns."""
-    own = bucket_of(keys, buckets)
-    cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(keys)]):
-        # columns of one request: number and lengths are known, so they are framed by their sizes
-        parts = [squeeze(c[a:b]) for c in columns]
-        frame = np.array([len(p) for p in parts], "<u4").tobytes()
-        out.append({"bucket": int(own[a]), "block": block, "keys": pack_sorted(keys[a:b]), "counts": frame + b"".join(parts)})
-    return out
-
-
-def columns_of(data: bytes, n: int) -> list[np.ndarray]:
-    sizes = np.frombuffer(data[: 4 * n], "<u4")
-    ends = 4 * n + np.cumsum(sizes)
-    return [swell(data[e - s : e]) for s, e in zip(sizes, ends)]
-
-
-def to_table(rows: list[dict], ddl: str):
-    import pyarrow as pa
-
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
-    fields = [f.split(" ") for f in ddl.split(", ")]
-    return pa.table([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
-
-
 class Words(dict):
     """Words of a block to their numbers."""
 
@@ -376,15 +312,6 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, order: int, model: dict)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluate, SCORE)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Writes df bucketed by key, so that cogrouping it by key moves none of it."""
-    spark = df.sparkSession
-    table = f"strataq_{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", fresh_path(spark, name)).option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
-
-
 def fit_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
     """Scores of all rows of docs (doc_id, text, held boolean) by the model of those that aren't held out."""
     spark = docs.sparkSession
@@ -396,7 +323,7 @@ def fit_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
     model: dict = {"star": {}, "N": 0, "V": 0, "texts": docs.filter("NOT held").count()}
     tables, answers = [], None
     for n in range(1, order + 1):
-        table = _store(count_answers(count_requests(blocks, n, order, buckets), n), f"katz_count{n}")
+        table = store(count_answers(count_requests(blocks, n, order, buckets), n), f"katz_count{n}")
         totals = table.filter(F.col("kind") == f"totals{n}").select(*[F.sum(F.col("totals")[k]) for k in range(CUT + 3)]).first()
         totals = [int(x or 0) for x in totals]
         if n == 1:
@@ -407,19 +334,12 @@ def fit_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
         for t in tables[1:]:
             answers = answers.unionByName(t)
         if n > 1:
-            table = _store(weight_answers(weight_requests(blocks, answers, n, order, dict(model), buckets), n), f"katz_alpha{n}")
+            table = store(weight_answers(weight_requests(blocks, answers, n, order, dict(model), buckets), n), f"katz_alpha{n}")
             tables.append(table.filter(F.col("kind") == f"alpha{n}"))
             answers = answers.unionByName(tables[-1])
     return score_blocks(blocks, answers, order, dict(model))
 
 
-def _store(df: DataFrame, name: str) -> DataFrame:
-    """A model table, partitioned by kind."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def op1_katz_scores(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
