@@ -3,13 +3,17 @@
 Fingerprints: every text's 4-word shingles (lower-cased A-Z) are hashed with XXH64, seed 42, and a bit is set where more
 than half of the hashes have it. Equal fingerprints collapse to one row first, so groups of exact copies cost one row.
 
-Links at MOST_BITS = 4 or fewer differing bits: 64 bits are cut into segments of 22, 21 and 21 bits. Of four errors the
-worst segment has at least two, so some two segments together have at most two. For each pair of segments a fingerprint
-gets the keys (near(a), self(b)) and (self(a), near(b)), where self is the index of the Golay codeword next to the segment
-and near are the indices next to it and to its one-bit changes. Errors (2,0), (1,1) and (0,2) all share such a key, so no
-link is lost; about thirty keys of 24 bits a fingerprint. Fingerprints that share a key are compared exactly, block by
-block in numpy, and a block only emits a spanning forest of its links, never all pairs. A key with more than BLOCK
-fingerprints is split: its rows are dealt into blocks and every two blocks meet in a task of their own.
+Links at MOST_BITS = 4 or fewer differing bits: 64 bits are cut into segments of 22, 21 and 21 bits. Two segments within
+two bits of each other share one of the Golay codeword indices next to them or to their one-bit changes. By pigeonhole,
+
+* either some segment is equal, and of the other two one has at most two errors: keys (segment i, near(segment j));
+* or every segment has an error: two have just one, so each of them has an equal half, and the third at most two: keys
+  (half of i, half of j, near(segment k)).
+
+So no link is lost, with about a hundred keys of 34 bits for a fingerprint; unrelated fingerprints hardly ever share one.
+Fingerprints that share a key are compared exactly, block by block in numpy, and a block only emits a spanning forest of
+its links, never all pairs. A key with more than BLOCK fingerprints is split: its rows are dealt into blocks and every two
+blocks meet in a task of their own.
 
 Components are found by star steps over the link table in Spark.
 
@@ -29,7 +33,7 @@ from .bpe import text_batches
 from .components import components
 from .scratch import materialize, ship
 
-SHINGLE, MOST_BITS, BLOCK = 4, 4, 4096
+SHINGLE, MOST_BITS, BLOCK, MAX_BROADCAST_KEYS = 4, 4, 4096, 100_000
 #: (low bit, width) of the segments
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
@@ -74,27 +78,31 @@ def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, keys) of distinct keys for each fingerprint (unsigned 64-bit)."""
-    near = [golay.nearby(((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64), width) for low, width in SEGMENTS]
-    rows, keys = [], []
-    for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        head = np.int64(pair << 24)
-        for left, right in ((near[a], near[b][:, :1]), (near[a][:, :1], near[b])):
-            key = np.sort(head | (left << 12) | right, axis=1)
-            first = np.ones(key.shape, bool)
-            first[:, 1:] = key[:, 1:] != key[:, :-1]
-            r, c = np.nonzero(first)
-            rows.append(r)
-            keys.append(key[r, c])
-    both = np.unique(np.stack([np.concatenate(rows), np.concatenate(keys)]), axis=1)
-    return both[0], both[1]
-
-
-def forest(fps: np.ndarray, other: np.ndarray | None = None, most: int = MOST_BITS) -> list[tuple[int, int]]:
-    """Links (of distinct values) that connect whatever links of at most `most` bits connect within fps, or fps and other.
+    parts = [((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
+    halves = [(x & 0x7FF, x >> 11) for x in parts]
+    near = []
+    for x, (_, width) in zip(parts, SEGMENTS):
+        index = np.sort(golay.nearby(x, width), axis=1)
+        new = np.ones(index.shape, bool)
+        new[:, 1:] = index[:, 1:] != index[:, :-1]
+        row, column = np.nonzero(new)
+        near.append((row, index[row, column]))
+    rows, keys, tag = [], [], 0
+    for k, (row, index) in enumerate(near):
+        i, j = (x for x in range(3) if x != k)
+        heads = [parts[i], parts[j]] + [x << 11 | y for x in halves[i] for y in halves[j]]
+        for head in heads:
+            rows.append(row)
+            keys.append(tag << 34 | head[row] << 12 | index)
+            tag += 1
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def forest(every: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
+    """Links that connect whatever links of at most `most` bits connect among distinct fingerprints.
 
     A breadth-first sweep: each fingerprint is compared with those not reached yet, so at most len - 1 links come out.
     """
-    every = fps if other is None else np.concatenate([fps, other])
     left, out = np.ones(len(every), bool), []
     while True:
         rest = np.flatnonzero(left)
@@ -125,9 +133,10 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[k : k + 20_000][rows].view(np.int64))], ["key", "fp"])
 
     keys = materialize(distinct.select("fp").mapInArrow(keyed, "key long, fp long"), "simhash-keys")
-    # only keys of two or more fingerprints matter; those above `block` are split into pairs of blocks
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keys.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # keys above `block` fingerprints are split into pairs of blocks; they are few, and checked to be so before a broadcast
+    hot = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "simhash-hot")
+    hot = F.broadcast(hot) if hot.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS else hot
+    shared = keys.join(hot, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     meet = F.expr("IF(blocks = 1, array(0), transform(sequence(0, blocks - 1), o -> least(o, _mine) * blocks + greatest(o, _mine)))")
     dealt = shared.withColumn("_mine", mine).withColumn("cell", F.explode(meet)).select(F.xxhash64("key", "cell").alias("deal"), "key", "cell", "fp")
@@ -136,30 +145,29 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
         """Rows come sorted by (key, cell); a cell has at most about two blocks of fingerprints."""
         import pyarrow as pa
 
-        held_id, held = None, []
+        rest = np.empty((3, 0), np.int64)
 
-        def flush():
-            fps = np.unique(np.concatenate(held).view(np.uint64)) if held else np.empty(0, np.uint64)
-            pairs = np.array(forest(fps), np.uint64).reshape(-1, 2).view(np.int64)
+        def linked(rows):
+            """Links of whole cells, laid end to end."""
+            cuts = np.flatnonzero((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])) + 1
+            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [rows.shape[1]]])
+            many = np.flatnonzero(stops - starts > 1)
+            pairs = [p for k in many.tolist() for p in forest(np.unique(rows[2, starts[k] : stops[k]].view(np.uint64)))]
+            pairs = np.unique(np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-        ready = []
         for batch in batches:
-            key, cell, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "fp"))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-                if (key[a], cell[a]) != held_id:
-                    if held:
-                        ready.append(flush())
-                    held_id, held = (key[a], cell[a]), []
-                held.append(fp[a:b].copy())
-            if len(ready) > 2000:
-                yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0] if sum(map(len, ready)) else ready[0]
-                ready = []
-        if held:
-            ready.append(flush())
-        if ready:
-            yield from pa.Table.from_batches(ready).combine_chunks().to_batches() or ready[:1]
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "cell", "fp")])
+            rows = np.concatenate([rest, rows], axis=1)
+            # the last cell may go on in the next batch
+            whole = rows.shape[1] - 1
+            same = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+            whole = int(np.argmax(same)) if same.any() else whole
+            rest = rows[:, whole:].copy()
+            if whole:
+                yield linked(rows[:, :whole])
+        if rest.shape[1]:
+            yield linked(rest)
 
     return dealt.repartition("deal").sortWithinPartitions("key", "cell").select("key", "cell", "fp").mapInArrow(compare, "a long, b long").distinct()
 
