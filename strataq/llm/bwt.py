@@ -25,17 +25,18 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     left = np.empty(n, np.int64)  # symbols to the end of the string, its mark included
     left[:] = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n) + 1
     done = 8
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = _ranks(key[order], order)
     while done < left.max(initial=0):
         follow = np.zeros(n, np.int64)
         has = np.flatnonzero(left > done)
         follow[has] = rank[has + done] + 1
         key = rank.astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = _ranks(key[order], order)
         done *= 2
-    return order  # stable sorts leave equal suffixes in the order of the strings
+    # equal suffixes take the order of their strings; with that, all keys differ
+    return np.argsort(rank.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64))
 
 
 def _ranks(sorted_keys: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -90,9 +91,10 @@ def merge_classes(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.nd
     """
     bwt = np.concatenate(bwts)
     bases = np.cumsum([0, *map(len, bwts)])
-    step = np.concatenate([last_to_first(b) + base for b, base in zip(bwts, bases)])
-    rows = np.arange(len(bwt))
-    ids = np.zeros(len(bwt), np.int64)
+    kind = np.int32 if len(bwt) < 2**31 else np.int64
+    step = np.concatenate([(last_to_first(b) + base).astype(kind) for b, base in zip(bwts, bases)])
+    rows = np.arange(len(bwt), dtype=kind)
+    ids = np.zeros(len(bwt), kind)
     for _ in range(depth):
         symbols = bwt[rows]
         order = np.argsort(symbols, kind="stable")
@@ -102,7 +104,7 @@ def merge_classes(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.nd
         parted = np.ones(len(rows) + 1, bool)
         parted[1:-1] = (symbols[1:] != symbols[:-1]) | (before[1:] != before[:-1])
         stay = ~(parted[1:] & parted[:-1]) & (symbols > 0)
-        ids = np.cumsum(parted[:-1])[stay]
+        ids = np.cumsum(parted[:-1], dtype=kind)[stay]
         rows = rows[stay]
         if not len(rows):
             break

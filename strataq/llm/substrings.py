@@ -6,14 +6,16 @@ the input. The texts are far too many for one suffix order, so equal strings are
 1. Documents are cut into blocks (a table bucketed by block, so later steps move no text). Blocks ask the owners of text
    hashes (128 bits) for the smallest id with the same whole text; later copies need no more work.
 2. Every LENGTH-byte window has an anchor: the leftmost of its GRAM-byte strings with the least hash. Equal windows have
-   equal anchors at equal places, and about one position in eighteen is an anchor. Blocks ask which of their anchors
+   equal anchors at equal places, and about one position in fourteen is an anchor. Blocks ask which of their anchors
    (packed sorted hashes) also occur in other documents. Windows with a private anchor can't repeat.
-3. What surrounds the other anchors, the stretch of all windows of one anchor, becomes a string of the block's shard for
-   the bucket of that anchor's hash; equal strings of a block are one, with their smallest id. The block builds the
-   shard's Burrows-Wheeler transform and sends that. A bucket merges the transforms of all its shards by interleave
-   refinement to depth LENGTH, without sorting suffixes again; suffixes left in one class share LENGTH bytes. Each
-   class's smallest id goes back to the shards.
-4. Blocks mark the windows with a smaller id elsewhere and drop the bytes they cover.
+3. What surrounds the other anchors, the stretch of all windows of one anchor, is a string. Equal strings are
+   pre-aggregated: a first exchange of 128-bit hashes gives each its smallest id and one block that stands for it, and
+   tells which anchors have a single stretch everywhere, so that nothing else can match there.
+4. The other strings form the block's shard for the bucket of the anchor's hash. The block builds the shard's
+   Burrows-Wheeler transform and sends that. A bucket merges the transforms of all its shards by interleave refinement
+   to depth LENGTH, without sorting suffixes again; suffixes left in one class share LENGTH bytes. Each class's smallest
+   id goes back to all blocks that have the string.
+5. Blocks mark the windows with a smaller id elsewhere and drop the bytes they cover.
 
 Skew: a block sends each distinct anchor and string once, so a bucket gets at most one copy from each block whatever the
 number of copies. An anchor found in more than HOT_BLOCKS blocks doesn't gather around its own hash: its windows are sent
@@ -36,11 +38,12 @@ from .bpe import text_batches
 from .packed import bucket_of, bucketed, columns_of, framed, narrow, pack_sorted, requests, squeeze, store, swell, to_table, unpack_sorted
 from .scratch import ship
 
-LENGTH, GRAM, BLOCK_BYTES, HOT_BLOCKS, BUCKET_BYTES = 50, 16, 12_000_000, 64, 8_000_000
+LENGTH, GRAM, BLOCK_BYTES, HOT_BLOCKS, BUCKET_BYTES = 50, 24, 12_000_000, 64, 8_000_000
 LAST = np.iinfo(np.int64).max
 BLOCK = "block long, doc_ids array<long>, sizes binary, data binary"
 REQUEST = "kind string, bucket long, block long, keys binary, counts binary"
 CHUNK = 1 << 17
+ALONE, MINE, OTHERS = range(3)
 
 
 def make_blocks(batches):
@@ -68,12 +71,15 @@ def make_blocks(batches):
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM (16) bytes from each position."""
+    """A 64-bit hash of the GRAM (16 to 32) bytes from each position."""
     two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << np.uint64(8)
     four = two[:-2] | two[2:] << np.uint64(16)
     eight = four[:-4] | four[4:] << np.uint64(32)
     with np.errstate(over="ignore"):
-        x = eight[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[8:] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        n, x = len(data) - GRAM + 1, np.uint64(0)
+        for at in dict.fromkeys((0, 8, max(GRAM - 16, 0), GRAM - 8)):
+            x = (x ^ eight[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
+            x = x ^ x >> np.uint64(29)
         x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         return x ^ x >> np.uint64(32)
 
@@ -247,13 +253,15 @@ def anchor_answers(asked: DataFrame, hot_blocks: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(add, REQUEST)
 
 
-# 3. shards and their merge
+# 3. and 4. strings, shards and their merge
 
 
 class Units:
     """A block's distinct strings around shared anchors, each with its occurrences (document, first window)."""
 
     def __init__(self, block: Block, answers: list[dict], buckets: int):
+        from xxhash import xxh64_intdigest
+
         skip = Texts(block, answers).skip
         docs, first, stop, hashes = block.stretches(skip)
         keys, place = np.unique(hashes, return_inverse=True)
@@ -273,18 +281,70 @@ class Units:
             of[k] = table.setdefault(raw[a:b], len(table))
         self.strings = list(table)
         self.docs, self.first, self.of = docs, first, of
-        self.least, self.most = np.full(len(table), LAST), np.full(len(table), -LAST - 1)
+        self.least = np.full(len(table), LAST)
         np.minimum.at(self.least, of, block.ids[docs])
-        np.maximum.at(self.most, of, block.ids[docs])
         if hot.any():
-            from xxhash import xxh64_intdigest
-
             hashes = hashes.copy()
             for k in np.flatnonzero(hot).tolist():
                 hashes[k] = xxh64_intdigest(self.strings[of[k]], 7)
-        key = np.zeros(len(table), np.uint64)
-        key[of] = hashes
-        self.bucket = bucket_of(key, buckets)
+        self.key = np.zeros(len(table), np.uint64)
+        self.key[of] = hashes
+        self.name = np.array([xxh64_intdigest(x, 11) for x in self.strings], np.uint64)
+        self.order = np.lexsort((self.name, self.key))
+        self.bucket = bucket_of(self.key, buckets)
+        if parts := [columns_of(r["counts"], 2) for r in answered(answers, "unit").values()]:
+            self.state = np.empty(len(table), np.uint8)
+            self.state[self.order] = np.concatenate([p[0] for p in parts])
+            self.least[self.order] = np.concatenate([p[1] for p in parts])
+
+    def of_bucket(self) -> dict[int, np.ndarray]:
+        """Open units by bucket: first those that this block stands for, then those that another one does."""
+        order = self.order[self.state[self.order] > ALONE] if len(self.order) else self.order
+        order = order[np.lexsort((self.state[order], self.bucket[order]))] if len(order) else order
+        cuts = np.flatnonzero(np.diff(self.bucket[order], prepend=-1)).tolist()
+        return {int(self.bucket[order[a]]): order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])}
+
+
+def unit_requests(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    def ask(left, right):
+        block = Block(left.to_pylist()[0])
+        units = Units(block, right.to_pylist(), buckets)
+        rows = requests(block.id, units.key[units.order], [units.name[units.order], units.least[units.order]], buckets)
+        return to_table([r | {"kind": "unit"} for r in rows], REQUEST)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, REQUEST)
+
+
+def unit_answers(asked: DataFrame) -> DataFrame:
+    """For each asked string its state (ALONE at its anchor, MINE to send, or OTHERS) and its smallest id."""
+
+    def add(table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        keys = [unpack_sorted(r["keys"]) for r in rows]
+        names, ids = zip(*(columns_of(r["counts"], 2) for r in rows))
+        both = np.stack([np.concatenate(keys), np.concatenate(names)], axis=1)
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (both[order[1:]] != both[order[:-1]]).any(1)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        heads = both[order[new], 0]
+        least = np.full(len(heads), LAST)
+        np.minimum.at(least, place, np.concatenate(ids))
+        alone = np.ones(len(heads), bool)
+        alone[1:] &= heads[1:] != heads[:-1]
+        alone[:-1] &= heads[1:] != heads[:-1]
+        state = np.where(alone[place], ALONE, OTHERS).astype(np.uint8)
+        first = np.unique(place, return_index=True)[1]
+        state[first[~alone]] = MINE
+        out, at = [], 0
+        for r, k in zip(rows, keys):
+            part = slice(at, at + len(k))
+            at += len(k)
+            out.append({"kind": "unit", "bucket": r["bucket"], "block": r["block"], "counts": framed([squeeze(state[part]), squeeze(least[place[part]])])})
+        return to_table(out, REQUEST)
+
+    return asked.groupBy("bucket").applyInArrow(add, REQUEST)
 
 
 def shard_requests(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
@@ -292,49 +352,53 @@ def shard_requests(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataF
         block = Block(left.to_pylist()[0])
         units = Units(block, right.to_pylist(), buckets)
         out = []
-        order = np.argsort(units.bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(units.bucket[order], prepend=-1)).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            who = order[a:b]
-            strings = [units.strings[k] for k in who.tolist()]
-            parts = [squeeze(bwt.transform(strings)), squeeze(narrow(np.array(list(map(len, strings)), np.int64))), squeeze(units.least[who])]
-            out.append({"kind": "shard", "bucket": int(units.bucket[who[0]]), "block": block.id, "counts": framed(parts)})
+        for bucket, who in units.of_bucket().items():
+            mine, others = who[units.state[who] == MINE], who[units.state[who] == OTHERS]
+            strings = [units.strings[k] for k in mine.tolist()]
+            parts = [bwt.transform(strings), narrow(np.array(list(map(len, strings)), np.int64)), units.least[mine], units.name[mine], units.name[others]]
+            out.append({"kind": "shard", "bucket": bucket, "block": block.id, "counts": framed(list(map(squeeze, parts)))})
         return to_table(out, REQUEST)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, REQUEST)
 
 
 def shard_answers(asked: DataFrame) -> DataFrame:
-    """For each shard the windows (string, offset) that a smaller id has elsewhere, with that id."""
+    """For each asked string the windows (string, offset) that occur in another string too, with their smallest id."""
 
     def add(table):
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        shards = [columns_of(r["counts"], 3) for r in rows]
-        bounds = np.cumsum([0] + [len(s[0]) for s in shards])
-        at, ids = bwt.merge_classes([s[0] for s in shards], LENGTH)
-        order = np.argsort(at, kind="stable")
-        at, ids = at[order], ids[order]
-        found = []
-        for k, (transform, lengths, least) in enumerate(shards):
-            mine = slice(*np.searchsorted(at, bounds[k : k + 2]))
-            string, offset = bwt.places(transform, lengths)
-            here = at[mine] - bounds[k]
-            found.append((string[here], offset[here], least[string[here]]))
-        owners = np.concatenate([f[2] for f in found]) if found else np.empty(0, np.int64)
+        shards = [columns_of(r["counts"], 5) for r in rows]
+        full = [s for s in shards if len(s[0])]
+        at, ids = bwt.merge_classes([s[0] for s in full], LENGTH) if full else (np.empty(0, np.int64),) * 2
+        where = [bwt.places(s[0], s[1]) for s in full]
+        bases = np.cumsum([0, *(len(s[1]) for s in full)])
+        string = np.concatenate([np.empty(0, np.int64), *(w[0] + base for w, base in zip(where, bases))])[at]
+        offset = np.concatenate([np.empty(0, np.int64), *(w[1] for w in where)])[at]
+        least = np.concatenate([np.empty(0, np.int64), *(s[2] for s in full)])
         best = np.full(int(ids.max(initial=0)) + 1, LAST)
-        np.minimum.at(best, ids, owners)
-        out, done = [], 0
-        for r, (string, offset, _) in zip(rows, found):
-            smallest = best[ids[done : done + len(string)]]
-            done += len(string)
-            parts = [squeeze(narrow(string)), squeeze(narrow(offset)), squeeze(smallest)]
-            out.append({"kind": "shard", "bucket": r["bucket"], "block": r["block"], "counts": framed(parts)})
+        np.minimum.at(best, ids, least[string])
+        smallest = best[ids]
+        useful = smallest < least[string]  # the string's own smallest id is known to all that have it
+        string, offset, smallest = string[useful], offset[useful], smallest[useful]
+        order = np.argsort(string, kind="stable")
+        string, offset, smallest = string[order], offset[order], smallest[order]
+        names = np.concatenate([np.empty(0, np.uint64), *(s[3] for s in full)])
+        by_name = np.argsort(names, kind="stable")
+        out = []
+        for r, s in zip(rows, shards):
+            asked_names = np.concatenate([s[3], s[4]])
+            wanted = by_name[np.searchsorted(names[by_name], asked_names)]
+            low, high = np.searchsorted(string, wanted, "left"), np.searchsorted(string, wanted, "right")
+            n = high - low
+            pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            parts = [narrow(np.repeat(np.arange(len(wanted)), n)), narrow(offset[pick]), smallest[pick]]
+            out.append({"kind": "shard", "bucket": r["bucket"], "block": r["block"], "counts": framed(list(map(squeeze, parts)))})
         return to_table(out, REQUEST)
 
     return asked.groupBy("bucket").applyInArrow(add, REQUEST)
 
 
-# 4. what is left
+# 5. what is left
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -349,12 +413,11 @@ def kept_texts(blocks: DataFrame, answers: DataFrame, buckets: int, digest: bool
         # smallest id of each window of each string: the block's own occurrences, and what the buckets answered
         sizes = np.array([len(s) - LENGTH + 1 for s in units.strings], np.int64)
         base = np.cumsum(sizes) - sizes
-        smallest = np.repeat(units.least, sizes)
-        order = np.argsort(units.bucket, kind="stable")
-        starts = {int(units.bucket[order[k]]): k for k in np.flatnonzero(np.diff(units.bucket[order], prepend=-1)).tolist()} if len(order) else {}
+        smallest = np.repeat(units.least, sizes)  # over all blocks
+        who = units.of_bucket()
         for bucket, r in answered(right, "shard").items():
             string, offset, best = columns_of(r["counts"], 3)
-            at = base[order[starts[bucket] + string.astype(np.int64)]] + offset.astype(np.int64)
+            at = base[who[bucket][string.astype(np.int64)]] + offset.astype(np.int64)
             smallest[at] = np.minimum(smallest[at], best)
         # windows of each occurrence that a smaller id has: +1 where one begins, -1 LENGTH bytes on
         cover = np.zeros(len(block.data) + LENGTH + 1, np.int32)
@@ -398,6 +461,7 @@ def deduplicate(docs: DataFrame, digest: bool = False, hot_blocks: int = HOT_BLO
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
     answers = store(text_answers(text_requests(blocks, buckets)), "bwt_texts")
     answers = answers.unionByName(store(anchor_answers(anchor_requests(blocks, answers, buckets), hot_blocks), "bwt_anchors"))
+    answers = answers.unionByName(store(unit_answers(unit_requests(blocks, answers, buckets)), "bwt_units"))
     answers = answers.unionByName(store(shard_answers(shard_requests(blocks, answers, buckets)), "bwt_shards"))
     return kept_texts(blocks, answers, buckets, digest)
 
