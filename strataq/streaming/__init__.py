@@ -1 +1 @@
-
+"""Reserved: the engine's surface is batch SQL; it has no streaming operators."""
