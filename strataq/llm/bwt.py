@@ -68,8 +68,8 @@ def last_to_first(bwt: np.ndarray) -> np.ndarray:
 def places(bwt: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of each row, by walking all strings backwards from their end marks at once."""
     step = last_to_first(bwt)
-    string = np.empty(len(bwt), np.int64)
-    offset = np.empty(len(bwt), np.int64)
+    string = np.empty(len(bwt), np.int32)
+    offset = np.empty(len(bwt), np.int32)
     rows, who = np.arange(len(lengths)), np.arange(len(lengths))
     at = lengths.astype(np.int64).copy()
     while len(rows):

@@ -71,6 +71,19 @@ def columns_of(data: bytes, n: int) -> list[np.ndarray]:
     return [swell(data[e - s : e]) for s, e in zip(sizes, ends)]
 
 
+def release() -> None:
+    """Gives freed memory back to the system; allocators otherwise keep it for the life of a Python worker."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def to_table(rows: list[dict], ddl: str):
     import pyarrow as pa
 

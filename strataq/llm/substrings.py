@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from .bpe import text_batches
-from .packed import bucket_of, bucketed, columns_of, framed, narrow, pack_sorted, requests, squeeze, store, swell, to_table, unpack_sorted
+from .packed import bucket_of, bucketed, columns_of, framed, narrow, pack_sorted, release, requests, squeeze, store, swell, to_table, unpack_sorted
 from .scratch import ship
 
-LENGTH, GRAM, BLOCK_BYTES, HOT_BLOCKS, BUCKET_BYTES = 50, 24, 12_000_000, 64, 8_000_000
+LENGTH, GRAM, BLOCK_BYTES, HOT_BLOCKS, BUCKET_BYTES = 50, 24, 5_000_000, 64, 32_000_000
 LAST = np.iinfo(np.int64).max
 BLOCK = "block long, doc_ids array<long>, sizes binary, data binary"
 REQUEST = "kind string, bucket long, block long, keys binary, counts binary"
@@ -155,7 +155,10 @@ class Block:
             hi = np.minimum(stop[pick], base[who] + self.sizes[group][who] - LENGTH + 1)
             good = hi > lo
             who, lo, hi, pick = who[good], lo[good], hi[good], place[pick[good]]
-            hashes = gram_hashes(data)[pick]
+            # anchors have the least hashes of their windows; mixed again they spread evenly over the buckets
+            with np.errstate(over="ignore"):
+                hashes = gram_hashes(data)[pick] * np.uint64(0xD1B54A32D192ED03)
+                hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0x8CB92BA72F3D8DD7)
             shift = self.starts[group][who] - base[who]
             out.append((group[who], lo + shift, hi + shift, hashes))
         if not out:
@@ -257,13 +260,15 @@ def anchor_answers(asked: DataFrame, hot_blocks: int) -> DataFrame:
 
 
 class Units:
-    """A block's distinct strings around shared anchors, each with its occurrences (document, first window)."""
+    """A block's distinct strings around shared anchors, each with its occurrences (document, first window).
+
+    Built once, for the exchange of strings; `saved` rows bring them back later without looking for anchors again.
+    """
 
     def __init__(self, block: Block, answers: list[dict], buckets: int):
         from xxhash import xxh64_intdigest
 
-        skip = Texts(block, answers).skip
-        docs, first, stop, hashes = block.stretches(skip)
+        docs, first, stop, hashes = block.stretches(Texts(block, answers).skip)
         keys, place = np.unique(hashes, return_inverse=True)
         parts = [swell(r["counts"]) for r in answered(answers, "anchor").values()]
         state = (np.concatenate(parts) if parts else np.empty(0, np.uint8))[place] if len(keys) else np.empty(0, np.uint8)
@@ -279,23 +284,44 @@ class Units:
         of = np.empty(len(docs), np.int64)
         for k, (a, b) in enumerate(zip(first.tolist(), (stop + LENGTH - 1).tolist())):
             of[k] = table.setdefault(raw[a:b], len(table))
-        self.strings = list(table)
-        self.docs, self.first, self.of = docs, first, of
-        self.least = np.full(len(table), LAST)
-        np.minimum.at(self.least, of, block.ids[docs])
         if hot.any():
-            hashes = hashes.copy()
+            strings, hashes = list(table), hashes.copy()
             for k in np.flatnonzero(hot).tolist():
-                hashes[k] = xxh64_intdigest(self.strings[of[k]], 7)
+                hashes[k] = xxh64_intdigest(strings[of[k]], 7)
+        self.docs, self.first, self.size, self.of = docs, first, stop - first, of
+        self.least = np.full(len(table), LAST)
+        np.minimum.at(self.least, of, block.ids[docs])
         self.key = np.zeros(len(table), np.uint64)
         self.key[of] = hashes
-        self.name = np.array([xxh64_intdigest(x, 11) for x in self.strings], np.uint64)
+        self.name = np.array([xxh64_intdigest(x, 11) for x in table], np.uint64)
         self.order = np.lexsort((self.name, self.key))
         self.bucket = bucket_of(self.key, buckets)
+
+    def saved(self) -> bytes:
+        deltas = np.diff(self.first, prepend=0)
+        assert not len(deltas) or deltas.min() >= 0
+        return framed([squeeze(narrow(x)) for x in (self.docs, deltas, self.size, self.of, self.order, self.bucket)])
+
+    @classmethod
+    def load(cls, block: Block, answers: list[dict]) -> Units:
+        """The units of a saved row, with what the exchange of strings answered."""
+        self = cls.__new__(cls)
+        row = next(iter(answered(answers, "occurrences").values()))
+        self.docs, deltas, self.size, self.of, self.order, self.bucket = (x.astype(np.int64) for x in columns_of(row["counts"], 6))
+        self.first = np.cumsum(deltas)
+        n = len(self.order)
+        self.at = np.zeros(n, np.int64)
+        self.at[self.of[::-1]] = np.arange(len(self.of))[::-1]  # each string's first occurrence
+        self.windows = self.size[self.at]
+        self.state, self.least = np.empty(n, np.uint8), np.empty(n, np.int64)
         if parts := [columns_of(r["counts"], 2) for r in answered(answers, "unit").values()]:
-            self.state = np.empty(len(table), np.uint8)
             self.state[self.order] = np.concatenate([p[0] for p in parts])
             self.least[self.order] = np.concatenate([p[1] for p in parts])
+        return self
+
+    def string(self, block: Block, k: int) -> bytes:
+        a = int(self.first[self.at[k]])
+        return block.bytes[a : a + int(self.windows[k]) + LENGTH - 1]
 
     def of_bucket(self) -> dict[int, np.ndarray]:
         """Open units by bucket: first those that this block stands for, then those that another one does."""
@@ -310,7 +336,12 @@ def unit_requests(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFr
         block = Block(left.to_pylist()[0])
         units = Units(block, right.to_pylist(), buckets)
         rows = requests(block.id, units.key[units.order], [units.name[units.order], units.least[units.order]], buckets)
-        return to_table([r | {"kind": "unit"} for r in rows], REQUEST)
+        # the block's own row passes through the exchange under a number that no bucket has
+        own = {"kind": "occurrences", "bucket": -1 - block.id, "block": block.id, "counts": units.saved()}
+        out = to_table([*(r | {"kind": "unit"} for r in rows), own], REQUEST)
+        del block, units, rows
+        release()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, REQUEST)
 
@@ -319,6 +350,8 @@ def unit_answers(asked: DataFrame) -> DataFrame:
     """For each asked string its state (ALONE at its anchor, MINE to send, or OTHERS) and its smallest id."""
 
     def add(table):
+        if table.column("kind")[0].as_py() == "occurrences":
+            return table
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         keys = [unpack_sorted(r["keys"]) for r in rows]
         names, ids = zip(*(columns_of(r["counts"], 2) for r in rows))
@@ -347,17 +380,22 @@ def unit_answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(add, REQUEST)
 
 
-def shard_requests(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+def shard_requests(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     def ask(left, right):
+        from xxhash import xxh64_intdigest
+
         block = Block(left.to_pylist()[0])
-        units = Units(block, right.to_pylist(), buckets)
-        out = []
+        units, out = Units.load(block, right.to_pylist()), []
         for bucket, who in units.of_bucket().items():
-            mine, others = who[units.state[who] == MINE], who[units.state[who] == OTHERS]
-            strings = [units.strings[k] for k in mine.tolist()]
-            parts = [bwt.transform(strings), narrow(np.array(list(map(len, strings)), np.int64)), units.least[mine], units.name[mine], units.name[others]]
+            strings = [units.string(block, k) for k in who.tolist()]
+            names = np.array([xxh64_intdigest(x, 11) for x in strings], np.uint64)
+            mine = int(np.count_nonzero(units.state[who] == MINE))
+            parts = [bwt.transform(strings[:mine]), narrow(np.array(list(map(len, strings[:mine])), np.int64)), units.least[who[:mine]], names[:mine], names[mine:]]
             out.append({"kind": "shard", "bucket": bucket, "block": block.id, "counts": framed(list(map(squeeze, parts)))})
-        return to_table(out, REQUEST)
+        out = to_table(out, REQUEST)
+        del block, units
+        release()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, REQUEST)
 
@@ -372,8 +410,8 @@ def shard_answers(asked: DataFrame) -> DataFrame:
         at, ids = bwt.merge_classes([s[0] for s in full], LENGTH) if full else (np.empty(0, np.int64),) * 2
         where = [bwt.places(s[0], s[1]) for s in full]
         bases = np.cumsum([0, *(len(s[1]) for s in full)])
-        string = np.concatenate([np.empty(0, np.int64), *(w[0] + base for w, base in zip(where, bases))])[at]
-        offset = np.concatenate([np.empty(0, np.int64), *(w[1] for w in where)])[at]
+        string = np.concatenate([np.empty(0, np.int32), *(w[0] + base for w, base in zip(where, bases.astype(np.int32)))])[at]
+        offset = np.concatenate([np.empty(0, np.int32), *(w[1] for w in where)])[at]
         least = np.concatenate([np.empty(0, np.int64), *(s[2] for s in full)])
         best = np.full(int(ids.max(initial=0)) + 1, LAST)
         np.minimum.at(best, ids, least[string])
@@ -393,7 +431,10 @@ def shard_answers(asked: DataFrame) -> DataFrame:
             pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             parts = [narrow(np.repeat(np.arange(len(wanted)), n)), narrow(offset[pick]), smallest[pick]]
             out.append({"kind": "shard", "bucket": r["bucket"], "block": r["block"], "counts": framed(list(map(squeeze, parts)))})
-        return to_table(out, REQUEST)
+        out = to_table(out, REQUEST)
+        del rows, shards, full, at, ids, where, string, offset, least, best, smallest
+        release()
+        return out
 
     return asked.groupBy("bucket").applyInArrow(add, REQUEST)
 
@@ -404,14 +445,14 @@ def shard_answers(asked: DataFrame) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def kept_texts(blocks: DataFrame, answers: DataFrame, buckets: int, digest: bool) -> DataFrame:
+def kept_texts(blocks: DataFrame, answers: DataFrame, digest: bool) -> DataFrame:
     """RESULT rows; kept is the remaining bytes, or their SHA-256 in hexadecimal if digest."""
 
     def cut(left, right):
         block, right = Block(left.to_pylist()[0]), right.to_pylist()
-        texts, units = Texts(block, right), Units(block, right, buckets)
+        texts, units = Texts(block, right), Units.load(block, right)
         # smallest id of each window of each string: the block's own occurrences, and what the buckets answered
-        sizes = np.array([len(s) - LENGTH + 1 for s in units.strings], np.int64)
+        sizes = units.windows
         base = np.cumsum(sizes) - sizes
         smallest = np.repeat(units.least, sizes)  # over all blocks
         who = units.of_bucket()
@@ -447,7 +488,10 @@ def kept_texts(blocks: DataFrame, answers: DataFrame, buckets: int, digest: bool
             else:  # the same id and text again
                 out.append((k, *result_of[int(texts.group[k])]))
         rows = [{"doc_id": block.doc_ids[k], "n_bytes": s, "n_removed": r, "n_spans": n, "kept": hashlib.sha256(x).hexdigest().encode() if digest else x} for k, s, r, n, x in out]
-        return to_table(rows, RESULT)
+        out = to_table(rows, RESULT)
+        del block, right, texts, units, smallest, cover, gone, pick, step, hit, where, rows, result_of
+        release()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, RESULT)
 
@@ -462,8 +506,8 @@ def deduplicate(docs: DataFrame, digest: bool = False, hot_blocks: int = HOT_BLO
     answers = store(text_answers(text_requests(blocks, buckets)), "bwt_texts")
     answers = answers.unionByName(store(anchor_answers(anchor_requests(blocks, answers, buckets), hot_blocks), "bwt_anchors"))
     answers = answers.unionByName(store(unit_answers(unit_requests(blocks, answers, buckets)), "bwt_units"))
-    answers = answers.unionByName(store(shard_answers(shard_requests(blocks, answers, buckets)), "bwt_shards"))
-    return kept_texts(blocks, answers, buckets, digest)
+    answers = answers.unionByName(store(shard_answers(shard_requests(blocks, answers)), "bwt_shards"))
+    return kept_texts(blocks, answers, digest)
 
 
 def op7_suffix_dedup(spark, sf_dir):
