@@ -262,7 +262,7 @@ def anchor_answers(asked: DataFrame, hot_blocks: int) -> DataFrame:
 class Units:
     """A block's distinct strings around shared anchors, each with its occurrences (document, first window).
 
-    Built once, for the exchange of strings; `saved` rows bring them back later without looking for anchors again.
+    Every step builds them again from the block: that costs less than carrying them through the exchanges.
     """
 
     def __init__(self, block: Block, answers: list[dict], buckets: int):
@@ -288,7 +288,8 @@ class Units:
             strings, hashes = list(table), hashes.copy()
             for k in np.flatnonzero(hot).tolist():
                 hashes[k] = xxh64_intdigest(strings[of[k]], 7)
-        self.docs, self.first, self.size, self.of = docs, first, stop - first, of
+        self.strings, self.docs, self.first, self.of = list(table), docs, first, of
+        self.windows = np.array(list(map(len, table)), np.int64) - LENGTH + 1
         self.least = np.full(len(table), LAST)
         np.minimum.at(self.least, of, block.ids[docs])
         self.key = np.zeros(len(table), np.uint64)
@@ -296,32 +297,10 @@ class Units:
         self.name = np.array([xxh64_intdigest(x, 11) for x in table], np.uint64)
         self.order = np.lexsort((self.name, self.key))
         self.bucket = bucket_of(self.key, buckets)
-
-    def saved(self) -> bytes:
-        deltas = np.diff(self.first, prepend=0)
-        assert not len(deltas) or deltas.min() >= 0
-        return framed([squeeze(narrow(x)) for x in (self.docs, deltas, self.size, self.of, self.order, self.bucket)])
-
-    @classmethod
-    def load(cls, block: Block, answers: list[dict]) -> Units:
-        """The units of a saved row, with what the exchange of strings answered."""
-        self = cls.__new__(cls)
-        row = next(iter(answered(answers, "occurrences").values()))
-        self.docs, deltas, self.size, self.of, self.order, self.bucket = (x.astype(np.int64) for x in columns_of(row["counts"], 6))
-        self.first = np.cumsum(deltas)
-        n = len(self.order)
-        self.at = np.zeros(n, np.int64)
-        self.at[self.of[::-1]] = np.arange(len(self.of))[::-1]  # each string's first occurrence
-        self.windows = self.size[self.at]
-        self.state, self.least = np.empty(n, np.uint8), np.empty(n, np.int64)
         if parts := [columns_of(r["counts"], 2) for r in answered(answers, "unit").values()]:
+            self.state = np.empty(len(table), np.uint8)
             self.state[self.order] = np.concatenate([p[0] for p in parts])
             self.least[self.order] = np.concatenate([p[1] for p in parts])
-        return self
-
-    def string(self, block: Block, k: int) -> bytes:
-        a = int(self.first[self.at[k]])
-        return block.bytes[a : a + int(self.windows[k]) + LENGTH - 1]
 
     def of_bucket(self) -> dict[int, np.ndarray]:
         """Open units by bucket: first those that this block stands for, then those that another one does."""
@@ -336,9 +315,7 @@ def unit_requests(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFr
         block = Block(left.to_pylist()[0])
         units = Units(block, right.to_pylist(), buckets)
         rows = requests(block.id, units.key[units.order], [units.name[units.order], units.least[units.order]], buckets)
-        # the block's own row passes through the exchange under a number that no bucket has
-        own = {"kind": "occurrences", "bucket": -1 - block.id, "block": block.id, "counts": units.saved()}
-        out = to_table([*(r | {"kind": "unit"} for r in rows), own], REQUEST)
+        out = to_table([r | {"kind": "unit"} for r in rows], REQUEST)
         del block, units, rows
         release()
         return out
@@ -350,8 +327,6 @@ def unit_answers(asked: DataFrame) -> DataFrame:
     """For each asked string its state (ALONE at its anchor, MINE to send, or OTHERS) and its smallest id."""
 
     def add(table):
-        if table.column("kind")[0].as_py() == "occurrences":
-            return table
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         keys = [unpack_sorted(r["keys"]) for r in rows]
         names, ids = zip(*(columns_of(r["counts"], 2) for r in rows))
@@ -380,17 +355,14 @@ def unit_answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(add, REQUEST)
 
 
-def shard_requests(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def shard_requests(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     def ask(left, right):
-        from xxhash import xxh64_intdigest
-
         block = Block(left.to_pylist()[0])
-        units, out = Units.load(block, right.to_pylist()), []
+        units, out = Units(block, right.to_pylist(), buckets), []
         for bucket, who in units.of_bucket().items():
-            strings = [units.string(block, k) for k in who.tolist()]
-            names = np.array([xxh64_intdigest(x, 11) for x in strings], np.uint64)
-            mine = int(np.count_nonzero(units.state[who] == MINE))
-            parts = [bwt.transform(strings[:mine]), narrow(np.array(list(map(len, strings[:mine])), np.int64)), units.least[who[:mine]], names[:mine], names[mine:]]
+            mine, others = who[units.state[who] == MINE], who[units.state[who] == OTHERS]
+            strings = [units.strings[k] for k in mine.tolist()]
+            parts = [bwt.transform(strings), narrow(np.array(list(map(len, strings)), np.int64)), units.least[mine], units.name[mine], units.name[others]]
             out.append({"kind": "shard", "bucket": bucket, "block": block.id, "counts": framed(list(map(squeeze, parts)))})
         out = to_table(out, REQUEST)
         del block, units
@@ -445,12 +417,12 @@ def shard_answers(asked: DataFrame) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def kept_texts(blocks: DataFrame, answers: DataFrame, digest: bool) -> DataFrame:
+def kept_texts(blocks: DataFrame, answers: DataFrame, buckets: int, digest: bool) -> DataFrame:
     """RESULT rows; kept is the remaining bytes, or their SHA-256 in hexadecimal if digest."""
 
     def cut(left, right):
         block, right = Block(left.to_pylist()[0]), right.to_pylist()
-        texts, units = Texts(block, right), Units.load(block, right)
+        texts, units = Texts(block, right), Units(block, right, buckets)
         # smallest id of each window of each string: the block's own occurrences, and what the buckets answered
         sizes = units.windows
         base = np.cumsum(sizes) - sizes
@@ -506,8 +478,8 @@ def deduplicate(docs: DataFrame, digest: bool = False, hot_blocks: int = HOT_BLO
     answers = store(text_answers(text_requests(blocks, buckets)), "bwt_texts")
     answers = answers.unionByName(store(anchor_answers(anchor_requests(blocks, answers, buckets), hot_blocks), "bwt_anchors"))
     answers = answers.unionByName(store(unit_answers(unit_requests(blocks, answers, buckets)), "bwt_units"))
-    answers = answers.unionByName(store(shard_answers(shard_requests(blocks, answers)), "bwt_shards"))
-    return kept_texts(blocks, answers, digest)
+    answers = answers.unionByName(store(shard_answers(shard_requests(blocks, answers, buckets)), "bwt_shards"))
+    return kept_texts(blocks, answers, buckets, digest)
 
 
 def op7_suffix_dedup(spark, sf_dir):
