@@ -123,7 +123,8 @@ def score(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rejected ones, columns unchanged."""
-    return score(docs).filter("kept").select(*docs.columns)
+    work = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "source")
+    return score(work, ["_doc", "lang", "source"]).filter("kept").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 _MEASURE_SQL = ", ".join(f"{sql.replace(' div ', ' // ')} AS {name}" for name, (sql, *_) in MEASURES.items())

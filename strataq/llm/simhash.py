@@ -188,13 +188,14 @@ def component_of(rows: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each component (the one of the smallest id; among repeated rows any one)."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    rows = materialize(whole, "numbered")
     prints = materialize(with_fingerprints(rows.select("_row", F.col("doc_id").cast("long"), "text")), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best")
     # fp -> its component's own fp is what groups; pre-aggregated on fp so a group of copies never meets in one task
     of = component_of_fp(prints)
     first = prints.groupBy("fp").agg(best).join(of, "fp").groupBy("component").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    return rows.join(first, "_row", "left_semi").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def component_of_fp(rows: DataFrame) -> DataFrame:
