@@ -85,13 +85,14 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, behind the last window, anchor's position) of the runs of windows of data with one anchor."""
+    """(first window, behind the last window, anchor's hash) of the runs of windows of data with one anchor."""
     width = length - GRAM + 1
-    first, stop, place = [], [], []
+    first, stop, hashes = [], [], []
     for a in range(0, len(data) - length + 1, CHUNK):
         part = data[a : a + CHUNK + length - 1]
         # the hash above, the place below: the least value is the leftmost of the least hashes
-        best = gram_hashes(part) & ~np.uint64((1 << 18) - 1) | np.arange(len(part) - GRAM + 1, dtype=np.uint64)
+        grams = gram_hashes(part)
+        best = grams & ~np.uint64((1 << 18) - 1) | np.arange(len(grams), dtype=np.uint64)
         covered = 1
         while covered < width:
             step = min(covered, width - covered)
@@ -101,10 +102,10 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         cuts = np.flatnonzero(np.diff(at, prepend=-1))
         first.append(cuts + a)
         stop.append(np.append(cuts[1:], len(at)) + a)
-        place.append(at[cuts] + a)
+        hashes.append(grams[at[cuts]])
     if not first:
-        return (np.empty(0, np.int64),) * 3
-    return np.concatenate(first), np.concatenate(stop), np.concatenate(place)
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+    return np.concatenate(first), np.concatenate(stop), np.concatenate(hashes)
 
 
 class Block:
@@ -144,7 +145,7 @@ class Block:
                 continue
             data = np.concatenate([self.data[self.starts[k] : self.starts[k] + self.sizes[k]] for k in group])
             base = np.cumsum(self.sizes[group]) - self.sizes[group]
-            first, stop, place = anchors(data)
+            first, stop, grams = anchors(data)
             who = np.searchsorted(base, first, "right") - 1
             last = np.searchsorted(base, stop - 1, "right") - 1
             # a run over a border is cut into its documents' parts
@@ -154,10 +155,10 @@ class Block:
             lo = np.maximum(first[pick], base[who])
             hi = np.minimum(stop[pick], base[who] + self.sizes[group][who] - LENGTH + 1)
             good = hi > lo
-            who, lo, hi, pick = who[good], lo[good], hi[good], place[pick[good]]
+            who, lo, hi, pick = who[good], lo[good], hi[good], pick[good]
             # anchors have the least hashes of their windows; mixed again they spread evenly over the buckets
             with np.errstate(over="ignore"):
-                hashes = gram_hashes(data)[pick] * np.uint64(0xD1B54A32D192ED03)
+                hashes = grams[pick] * np.uint64(0xD1B54A32D192ED03)
                 hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0x8CB92BA72F3D8DD7)
             shift = self.starts[group][who] - base[who]
             out.append((group[who], lo + shift, hi + shift, hashes))
