@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 __all__ = ["concat", "substring", "trim", "ltrim", "rtrim", "now_text", "current_date_text", "to_time", "date_part", "date_trunc", "add", "subtract", "multiply", "divide", "modulo", "length", "octets", "upper", "lower", "DATE_PARTS", "TRUNC_UNITS"]
 
+#: fixed values: the accepted names of date parts and units
 DATE_PARTS = ("year", "month", "day", "hour", "minute", "second", "dow", "dayofweek", "doy", "dayofyear", "quarter")
 TRUNC_UNITS = ("year", "month", "day", "hour", "minute")
-#: the accepted spellings of times in text
+#: fixed values: the accepted spellings of times in text
 TIME_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss")
 
 

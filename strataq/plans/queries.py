@@ -102,7 +102,7 @@ def catalog_three_part_name(spark, sf_dir):  # S9 S10
 
 @query(f"SELECT o_custkey, {M.format('o_totalprice')} AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
 def create_table_as_select(spark, sf_dir):  # S11 S12
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") if spark.sparkContext.master.startswith("local-cluster") else tempfile.mkdtemp(prefix="strataq-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") if not spark.sparkContext.master.partition("[")[0] == "local" else tempfile.mkdtemp(prefix="strataq-")
     engine = Engine(spark, data_path=sf_dir, catalog=Catalog(spark, warehouse=warehouse))
     engine.execute("CREATE TABLE finished AS SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
     return engine.execute("SELECT o_custkey, total FROM finished")

@@ -11,6 +11,7 @@ from strataq.sources.catalog import AlreadyExists, Catalog, FileStore, NotFound
 from strataq.sources.parquet import SchemaMismatch, scan_files, scan_url
 from strataq.sources.registry import TableRegistry
 
+#: fixed values: the fixture rows
 EMPLOYEES = [
     (1, "John Doe", "Engineering", 75000.0, 30, "2020-01-15"), (2, "Jane Smith", "Marketing", 65000.0, 28, "2019-03-22"), (3, "Mike Johnson", "Engineering", 80000.0, 35, "2018-07-10"),
     (4, "Sarah Wilson", "HR", 55000.0, 32, "2021-05-18"), (5, "David Brown", "Sales", 70000.0, 29, "2019-11-02"), (6, "Lisa Davis", "Engineering", 85000.0, 33, "2017-12-01"),
