@@ -188,9 +188,9 @@ def component_of(rows: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each component (the one of the smallest id; among repeated rows any one)."""
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
     rows = materialize(whole, "numbered")
-    prints = materialize(with_fingerprints(rows.select("_row", F.col("doc_id").cast("long"), "text")), "fingerprints")
+    prints = materialize(with_fingerprints(rows.select("_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text"))), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best")
     # fp -> its component's own fp is what groups; pre-aggregated on fp so a group of copies never meets in one task
     of = component_of_fp(prints)
