@@ -252,7 +252,9 @@ def _engine(name: str, sql: str, oracle: str | None = None) -> None:
     """A query whose SQL text the engine runs as it is."""
 
     def run(spark, sf_dir):
-        return Engine(spark, data_path=sf_dir).execute(sql)
+        engine = Engine(spark, data_path=sf_dir)
+        engine.cache.enabled = False  # each run computes its result
+        return engine.execute(sql)
 
     run.__name__ = name
     query(oracle or sql)(run)
