@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import golay
+from . import golay, jaccard
 from .bpe import text_batches
 from .components import components
 from .scratch import materialize, ship
@@ -187,14 +187,14 @@ def component_of(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each component (the one of the smallest id; among repeated rows any one)."""
+    """docs without all but one row of each group of near-duplicates (the one of the smallest id; among repeated rows any one).
+
+    Groups are those of jaccard.py: five-word shingles, similarity 0.8 or more. The four words and four bits bind only op6.
+    """
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
     rows = materialize(whole, "numbered")
-    prints = materialize(with_fingerprints(rows.select("_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text"))), "fingerprints")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best")
-    # fp -> its component's own fp is what groups; pre-aggregated on fp so a group of copies never meets in one task
-    of = component_of_fp(prints)
-    first = prints.groupBy("fp").agg(best).join(of, "fp").groupBy("component").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
+    texts = rows.select("_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text"))
+    first = jaccard.survivors(texts)
     return rows.join(first, "_row", "left_semi").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
