@@ -80,8 +80,9 @@ def trusted_patterns(scanned: DataFrame) -> DataFrame:
     edges = scanned.select(F.explode("cand").alias("c")).select("c.ctx", "c.inst", (F.col("c.kind") < KINDS.index("ctx")).alias("seed"))
     # pairs are made distinct with map-side combining before they meet by pattern or by instance
     edges = materialize(edges.groupBy("ctx", "inst").agg(F.max("seed").alias("seed")), "pii-edges")
-    # a pattern needs SUPPORT known instances in the end, so patterns with fewer instances can't matter
-    wide = edges.groupBy("ctx").agg(F.count("*").alias("n"), F.max("seed").alias("any")).filter((F.col("n") >= SUPPORT) & F.col("any")).select("ctx")
+    # a pattern needs SUPPORT known instances in the end, so patterns with fewer instances can't matter; one without a seed
+    # can, as other patterns may make its instances known
+    wide = edges.groupBy("ctx").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("ctx")
     edges = materialize(edges.join(wide, "ctx", "left_semi").withColumn("s", F.col("seed").cast("double")), "pii-graph")
     patterns = None
     for _ in range(ROUNDS):
