@@ -1,7 +1,8 @@
 """Benchmark decontamination by CGK embedding (operator 3).
 
 A document leaks an item if some stretch of it is within MAX_RATE * length edits of the item (lower-cased A-Z, white
-space as single spaces; NUL bytes count as spaces). Items over PIECE bytes count as leaked when one of their pieces is.
+space as single spaces; NUL bytes count as spaces). Items over PIECE bytes are cut into even pieces. Of a leaked item one
+piece at least is within its own share of the edits, so pieces only propose where the item lies (step 5).
 
 1. Windows: item-sized, laid where the text shares a substring of SEED bytes with an item, aligned to that substring's
    place in the item. (Up to length / SEED - 1 edits always leave such a substring; beyond that only edits spread evenly
@@ -11,6 +12,7 @@ space as single spaces; NUL bytes count as spaces). Items over PIECE bytes count
 3. Bit-sampling LSH over the embeddings, repeated: TABLES samples of SAMPLED positions. The number of tables is found by
    embedding edited copies of the items at MAX_RATE until the recall reaches RECALL.
 4. Windows and items that share a key are verified by exact edit distance (bit-parallel, substring of the text).
+5. Where a piece of a longer item is verified, so is the whole item, over the stretch of text that its place suggests.
 
 Items travel to the tasks, in blocks of at most ITEMS_PER_PASS items, one pass over the documents for each block, so the
 amount sent has a fixed bound. Texts are read once per pass and nothing is shuffled.
@@ -97,14 +99,22 @@ def substring_distances(patterns: list[bytes], which: np.ndarray, texts: list[by
     return out
 
 
+def even_cuts(size: int) -> list[tuple[int, int]]:
+    """(start, end) of the fewest pieces of at most PIECE bytes, whose sizes differ by one at most."""
+    n = -(-size // PIECE)
+    return [(k * size // n, (k + 1) * size // n) for k in range(n)]
+
+
 class Matcher:
     """find(texts) -> (row, item number, distance) of each leak."""
 
     def __init__(self, items: list[bytes], rate: float = MAX_RATE, recall: float = RECALL, seed: int = 7):
         self.rate = rate
-        cut = [(k, x[a : a + PIECE]) for k, x in enumerate(items) if len(x) >= MIN_ITEM for a in range(0, max(1, len(x) - MIN_ITEM + 1), PIECE)]
-        self.item = np.array([k for k, _ in cut], np.int64)
-        self.pieces = [x for _, x in cut]
+        self.items = items
+        cut = [(k, a, x[a:b]) for k, x in enumerate(items) if len(x) >= MIN_ITEM for a, b in even_cuts(len(x))]
+        self.item = np.array([k for k, *_ in cut], np.int64)
+        self.offset = np.array([a for _, a, _ in cut], np.int64)
+        self.pieces = [x for *_, x in cut]
         self.sizes = np.array(list(map(len, self.pieces)), np.int64)
         rng = np.random.default_rng(seed)
         self.most = int(self.sizes.max(initial=1))
@@ -181,10 +191,29 @@ class Matcher:
         _, first = np.unique(np.stack([piece, start >> 3]), axis=1, return_index=True)
         return piece[first], start[first]
 
+    def _whole(self, proposed: dict[tuple[int, int], list[tuple[int, int]]], docs: list[bytes]):
+        """((row, item), distance) of the items leaked within the proposed stretches; stretches that meet are joined."""
+        pairs, stretch = [], []
+        for pair, spans in proposed.items():
+            joined: list[list[int]] = []
+            for a, b in sorted(spans):
+                if joined and a <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([a, b])
+            pairs += [pair] * len(joined)
+            stretch += [docs[pair[0]][a:b] for a, b in joined]
+        for a in range(0, len(pairs), 500):
+            which = np.array([item for _, item in pairs[a : a + 500]], np.int64)
+            for pair, d in zip(pairs[a : a + 500], substring_distances(self.items, which, stretch[a : a + 500]).tolist()):
+                if d <= int(self.rate * len(self.items[pair[1]])):
+                    yield pair, d
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
         if not self.pieces:
             return []
         out: dict[tuple[int, int], int] = {}
+        proposed: dict[tuple[int, int], list[tuple[int, int]]] = {}
         rows, pieces, starts, docs = [], [], [], [normal(t) for t in texts]
         for row, doc in enumerate(docs):
             piece, start = self.windows(np.frombuffer(doc, np.uint8))
@@ -207,8 +236,16 @@ class Matcher:
                 stretch.append(docs[rows[a + w]][max(0, starts[a + w] - most) : at + int(self.sizes[p]) + most])
             for (w, p), d in zip(pairs.T.tolist(), substring_distances(self.pieces, pairs[1], stretch).tolist()):
                 pair = (rows[a + w], int(self.item[p]))
-                if d <= int(self.rate * self.sizes[p]) and d < out.get(pair, self.most):
+                if d > int(self.rate * self.sizes[p]):
+                    continue
+                size = len(self.items[pair[1]])
+                if size > self.sizes[p]:
+                    most, at = int(self.rate * size) + 8, starts[a + w] - int(self.offset[p])  # windows are laid to eight bytes
+                    proposed.setdefault(pair, []).append((max(0, at - most), at + size + most))
+                elif d < out.get(pair, self.most):
                     out[pair] = d
+        for pair, d in self._whole(proposed, docs):
+            out[pair] = min(d, out.get(pair, d))
         return [(row, item, d) for (row, item), d in sorted(out.items())]
 
 
