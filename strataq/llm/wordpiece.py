@@ -6,6 +6,7 @@ pieces that longest match would pop are known beforehand, so only their number a
 text are stored. Each character is read once; a word costs time linear in its length whatever the vocabulary.
 
 The vocabulary here comes from a public byte-level one: pieces with a leading space start a word, all others continue one.
+The space is a piece itself: a word that no longer piece starts is the space's piece and continuing ones.
 Words that can't be cut into pieces count as one unknown piece.
 
 Defined results: a null text is empty (no words, no pieces); repeated ids and rows keep their rows; extra columns are
@@ -33,6 +34,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def has_space(path: str | None = None) -> bool:
+    """True if the vocabulary has the space alone as a piece."""
+    with open(path or vocab_path(), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    return any(byte_letters().get(piece) == 32 for piece in vocab)
+
+
 def load_pieces(path: str | None = None) -> tuple[set[bytes], set[bytes]]:
     """(word-initial pieces, continuing pieces) as bytes."""
     with open(path or vocab_path(), encoding="utf-8") as f:
@@ -44,9 +52,12 @@ def load_pieces(path: str | None = None) -> tuple[set[bytes], set[bytes]]:
 
 
 class Counter:
-    """count(word) -> number of greedy pieces, or 1 if some part of the word is in no piece."""
+    """count(word) -> number of greedy pieces, or 1 if some part of the word is in no piece.
+
+    With `space`, a word may also start with the piece of the space alone, which holds none of its bytes.
+    """
 
-    def __init__(self, first: set[bytes], more: set[bytes]):
+    def __init__(self, first: set[bytes], more: set[bytes], space: bool = False):
         # nodes 0 and 1 are the roots of word-initial and of continuing pieces
         edges: list[dict[int, int]] = [{}, {}]
         final = [False, False]
@@ -63,6 +74,8 @@ class Counter:
                 final[node] = True
         n = len(edges)
         fail, pops = [-1] * n, [0] * n
+        if space:
+            fail[0], pops[0] = 1, 1
         queue = [0, 1]
         for parent in queue:
             for byte, node in edges[parent].items():
@@ -102,7 +115,7 @@ class Counter:
 
 @functools.lru_cache(2)
 def shared_counter(path: str | None = None) -> Counter:
-    return Counter(*load_pieces(path))
+    return Counter(*load_pieces(path), has_space(path))
 
 
 class Table(dict):
