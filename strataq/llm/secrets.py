@@ -1,8 +1,9 @@
 """Secret scan (operator 2): Aho-Corasick prefilter, anchored regular expressions near hits, embedded checksums.
 
 One automaton over the ASCII-lower-cased text finds every keyword in a single pass; only at its hits are the anchored
-expressions tried, left to right, skipping hits inside an earlier match of the same kind. Runs of hexadecimal digits have
-no keyword, so they are found by their own expression. Beyond the base kinds (assign, access, hex) the scan reports tokens
+expressions tried, left to right, skipping hits inside an earlier match (or a failed run) of the same kind, so the scan is
+linear in the text whatever it holds. Runs of hexadecimal digits and base58check keys have no keyword (any digit may begin
+them), so each is found by one expression over the text that never looks back. Beyond the base kinds (assign, access, hex) the scan reports tokens
 that prove themselves:
 
 * `vcs` and `registry`: prefixed 36-character tokens whose last six characters are the base-62 CRC-32 of the first thirty;
@@ -10,8 +11,9 @@ that prove themselves:
 * `pem`: a private-key block whose base64 body decodes to a DER sequence of the stated length;
 * `wif`: base58check private keys (version 0x80) with their four-byte double SHA-256.
 
-Defined results: a null text is empty and has no spans; repeated ids and rows keep their rows; extra columns are ignored;
-an empty table gives an empty result. Offsets are code points, end exclusive.
+Defined results: a null text is empty and has no spans; a text of any length is scanned whole; a null id stays a null id;
+repeated ids and rows keep their rows; extra columns are ignored; an empty table gives an empty result. Spans that begin at
+one place are listed in the order of KINDS. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 VCS = re.compile("gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 REGISTRY = re.compile("npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+)-----END (?:[A-Z]+ )?PRIVATE KEY-----")
+JWT_HEAD = re.compile("eyJ[A-Za-z0-9_-]++")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++")
+PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s++([A-Za-z0-9+/=\s]++)-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 WIF = re.compile("(?<![0-9A-Za-z])[5KL][1-9A-HJ-NP-Za-km-z]{50,51}(?![0-9A-Za-z])")
 
 
@@ -61,7 +64,7 @@ def _crc_token(m: re.Match) -> bool:
 def _jwt(m: re.Match) -> bool:
     try:
         head, body = (json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))) for part in m.group(1, 2))
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested deeper than any token's header
         return False
     return isinstance(head, dict) and isinstance(body, dict) and "alg" in head
 
@@ -121,10 +124,14 @@ def find(text: str) -> list[tuple[int, int, int]]:
         _, pattern, valid = RULES[kind]
         behind = 0
         for at in sorted(starts):
-            if at >= behind and (m := pattern.match(text, at)):
+            if at < behind:
+                continue
+            if m := pattern.match(text, at):
                 behind = m.end()
                 if valid(m):
                     spans.append((at, KINDS.index(kind), behind))
+            elif kind == "jwt" and (head := JWT_HEAD.match(text, at)):
+                behind = head.end()  # what follows this run decides for all hits in it
     spans += [(m.start(), KINDS.index("wif"), m.end()) for m in WIF.finditer(text) if _wif(m)]
     return sorted(spans)
 
