@@ -1,14 +1,15 @@
 """Token ids in Arrow's file format (operator 4).
 
 A token file is an Arrow IPC file of record batches with two columns: `ids`, a fixed-size list of LENGTH unsigned
-integers, and `mask`, a fixed-size list of LENGTH booleans that is false only behind the end of the file's stream. Batches
-are not compressed and all rows have one size, so row k of any batch lies at a computed place: a memory-mapped file gives
-sequence and mask as views without copying.
+integers (16 bits wide where the vocabulary's ids fit, else 32), and `mask`, a fixed-size list of LENGTH booleans that is
+false only behind the end of the file's stream. Batches are not compressed and all rows have one size, so row k of any batch
+lies at a computed place: a memory-mapped file gives a sequence's ids, and its mask as Arrow's packed bits (`mask_bits`), as
+views without copying; `mask` expands these bits to one byte a token, which is a copy.
 
 Writing: documents are range-partitioned and sorted by id (text hash and text break ties), each task encodes its range and
 writes one file under a name of its own attempt, and returns one manifest row. The manifest is written as a table, so a
 repeated task leaves at most an unreferenced file. Each file starts with a fresh sequence; `start` counts all ids before a
-document over the whole corpus, from a running sum over the manifest (one row for each file).
+document over the whole corpus, from a running sum over one number for each file.
 
 Defined results: a null or empty text is the end id alone; a null id sorts first; repeated ids and rows are all kept; a
 text of any length is streamed through the sequences; extra columns are ignored; an empty table writes no file.
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 from .bpe import shared_encoder, text_batches, with_end
 from .scratch import fresh_path, materialize, ship
 
-LENGTH, ROWS = 2048, 256
+LENGTH, ROWS, MAX_BROADCAST_FILES = 2048, 256, 500_000
 MANIFEST = "part int, uri string, n_ids long, doc_ids array<long>, n_tokens array<long>"
 
 
-def schema(length: int):
+def schema(length: int, wide: bool = False):
     import pyarrow as pa
 
-    return pa.schema([pa.field("ids", pa.list_(pa.field("item", pa.uint16(), False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), length), False)])
+    kind = pa.uint32() if wide else pa.uint16()
+    return pa.schema([pa.field("ids", pa.list_(pa.field("item", kind, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), length), False)])
 
 
 def open_fs(uri: str):
@@ -45,18 +47,23 @@ def open_fs(uri: str):
 class TokenFileWriter:
     """Appends ids to a token file, a record batch at a time; memory stays at one batch."""
 
-    def __init__(self, uri: str, length: int = LENGTH):
+    def __init__(self, uri: str, length: int = LENGTH, wide: bool = False):
         import pyarrow as pa
 
+        if length % 8:
+            raise ValueError("length must be a multiple of 8, so that each row's mask begins at a whole byte")
         self.fs, path = open_fs(uri)
         self.fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.sink, self.length, self.n = self.fs.open_output_stream(path), length, 0
-        self.out = pa.ipc.new_file(self.sink, schema(length))
+        self.schema, self.kind = schema(length, wide), np.uint32 if wide else np.uint16
+        self.out = pa.ipc.new_file(self.sink, self.schema)
         self.rest: list[np.ndarray] = []
         self.held = 0
 
     def append(self, ids: np.ndarray) -> None:
-        self.rest.append(ids.astype(np.uint16))
+        if len(ids) and int(ids.max()) > np.iinfo(self.kind).max:
+            raise ValueError(f"id {int(ids.max())} doesn't fit into {np.dtype(self.kind).name}")
+        self.rest.append(ids.astype(self.kind))
         self.held += len(ids)
         self.n += len(ids)
         if self.held >= self.length * ROWS:
@@ -72,9 +79,9 @@ class TokenFileWriter:
             part = now[k * self.length : (k + ROWS) * self.length]
             size = -(-len(part) // self.length) * self.length
             mask = np.arange(size) < len(part)
-            part = np.concatenate([part, np.zeros(size - len(part), np.uint16)]) if size > len(part) else part
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((part, mask), schema(self.length))]
-            self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=schema(self.length)))
+            part = np.concatenate([part, np.zeros(size - len(part), self.kind)]) if size > len(part) else part
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((part, mask), self.schema)]
+            self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> int:
         if self.held:
@@ -103,8 +110,14 @@ class TokenFile:
         """The ids of sequence k, without a copy."""
         return self._row(k, "ids").to_numpy(zero_copy_only=True)
 
+    def mask_bits(self, k: int) -> np.ndarray:
+        """The mask of sequence k as packed bits, least bit first, without a copy."""
+        values = self.reader.get_batch(k // ROWS).column("mask").values
+        first = (values.offset + k % ROWS * self.length) // 8
+        return np.frombuffer(values.buffers()[1], np.uint8)[first : first + self.length // 8]
+
     def mask(self, k: int) -> np.ndarray:
-        return self._row(k, "mask").to_numpy(zero_copy_only=False)
+        return np.unpackbits(self.mask_bits(k), bitorder="little").view(bool)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """n ids of the file's stream from `start`."""
@@ -127,7 +140,7 @@ def write(docs: DataFrame, folder: str, vocab: str | None = None, length: int =
         for batch in text_batches(batches):
             if out is None:
                 uri = f"{folder}/{uuid.uuid4().hex}.arrow"
-                out = TokenFileWriter(uri, length)
+                out = TokenFileWriter(uri, length, wide=len(encoder.leads) > 1 << 16)
             ids, n = with_end(*encoder.encode([x or "" for x in batch.column("text").to_pylist()]))
             out.append(ids)
             doc_ids += batch.column("doc_id").to_pylist()
@@ -146,7 +159,13 @@ def write(docs: DataFrame, folder: str, vocab: str | None = None, length: int =
 
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, uri, file_start) of every document, from the files' own bytes."""
-    files = manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # two numbers for each file go through one task; the documents' arrays stay where they are until their file is read
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = materialize(manifest.select("part", "n_ids").withColumn("first", before).select("part", "first"), "starts")
+    n = first.count()
+    first = F.broadcast(first) if n <= MAX_BROADCAST_FILES else first
+    # ranges of part: one file in each partition, where adaptive execution would gather all files, by their few bytes, in one
+    files = manifest.join(first, "part").repartitionByRange(max(1, n), "part")
 
     def get(batches):
         import pyarrow as pa
@@ -163,8 +182,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "uri", "file_start"])
 
-    # a stated number of partitions: by their few bytes adaptive execution would gather all files in one task
-    return files.repartition(max(1, manifest.count()), "uri").mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long, uri string, file_start long")
+    return files.mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long, uri string, file_start long")
 
 
 def op4_token_files(spark, sf_dir):

@@ -189,7 +189,28 @@ def test_token_files_round_trip(spark, texts, tmp_path):
         stream = np.concatenate([want[d] for d in row.doc_ids])
         rows = -(-len(stream) // 64)
         assert np.concatenate([file.sequence(k)[file.mask(k)] for k in range(rows)]).tolist() == stream.tolist()
-        assert not file.sequence(0).flags.owndata and file.mask(rows - 1).sum() == len(stream) - 64 * (rows - 1)
+        assert not file.sequence(0).flags.owndata and not file.mask_bits(rows - 1).flags.owndata
+        assert file.mask(rows - 1).tolist() == [k < len(stream) - 64 * (rows - 1) for k in range(64)]
+
+
+def test_wide_ids_are_never_cut(tmp_path):
+    ids = np.array([1, 65_535, 65_536, 1 << 20], np.uint32)
+    with pytest.raises(ValueError):
+        tokenfile.TokenFileWriter(f"file://{tmp_path}/narrow.arrow", 8).append(ids)
+    out = tokenfile.TokenFileWriter(f"file://{tmp_path}/wide.arrow", 8, wide=True)
+    out.append(np.tile(ids, 1000))
+    assert out.close() == 4000
+    file = tokenfile.TokenFile(f"file://{tmp_path}/wide.arrow")
+    assert file.sequence(499).tolist() == [*ids, *ids] and file.tokens(3998, 2).tolist() == [65_536, 1 << 20]
+
+
+def test_token_file_query(spark, texts):
+    want, at = wanted_ids(texts), 0
+    got = {r.doc_id: r for r in queries.queries()["op4_token_files"](spark, DATA).collect()}
+    assert set(got) == set(want)
+    for d in sorted(want):
+        assert tuple(got[d]) == (d, at, len(want[d]), zlib.crc32(want[d].tobytes()))
+        at += len(want[d])
 
 
 def check_packing(rows, want, capacity):
