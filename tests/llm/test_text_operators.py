@@ -264,9 +264,48 @@ def test_pack_is_a_packing_no_worse_than_first_fit(lengths):
     assert len(bins) <= len(open_bins)
 
 
+def squared_fill(lengths, bins):
+    return sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+
+
 def test_local_search_beats_best_fit_alone():
-    lengths = [6, 6, 6, 6, 5, 5, 5, 5, 4, 4, 4, 4] * 5
-    assert len(packing.pack(lengths, 20, rounds=10)) <= len(packing.pack(lengths, 20, rounds=0))
+    rnd, lengths = random.Random(0), []
+    for _ in range(200):  # triples that fill a sequence exactly
+        a, b = rnd.randint(20, 45), rnd.randint(20, 45)
+        lengths += [a, b, 100 - a - b]
+    plain, found = packing.pack(lengths, 100, effort=0), packing.pack(lengths, 100)
+    assert len(found) < len(plain) and sorted(i for b in found for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 100 for b in found) and squared_fill(lengths, found) > squared_fill(lengths, plain)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=25))
+def test_no_step_is_left(lengths):
+    """No move, one-for-one or two-for-one exchange between two sequences grows the squared fill any more."""
+    bins = packing.pack(lengths, 30)
+    if len(bins) <= -(-sum(lengths) // 30):
+        return
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for x, b in enumerate(bins):
+        options = [(i,) for i in b] + [(i, j) for i in b for j in b if i < j]
+        for y, c in enumerate(bins):
+            if x != y and fill[x] <= fill[y] < 30:
+                for give in options:
+                    total = sum(lengths[i] for i in give)
+                    assert len(give) > 1 or fill[y] + total > 30
+                    assert not any(0 < total - lengths[j] <= 30 - fill[y] for j in c)
+
+
+def test_shards_do_not_follow_the_layout(spark):
+    df = spark.createDataFrame([(k, "word " * (k % 97)) for k in range(400)], "doc_id long, text string")
+    runs = []
+    for n in (1, 7):
+        rows = packing.pack_pieces(packing.piece_rows(df.repartition(n), capacity=64), 64, shard=50).collect()
+        groups: dict = {}
+        for r in rows:
+            groups.setdefault(r.sequence_id, []).append((r.offset, r.doc_id, r.piece))
+        runs.append(sorted(sorted(g) for g in groups.values()))
+    assert runs[0] == runs[1]
 
 
 # quality
