@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.parquet import SchemaMismatch
-from .rowindex import ROW
+from .rowindex import ROW, bit_of, number_rows
 
 FILE = "file_idx"
 
@@ -37,19 +37,20 @@ def merge_rows(frames: list[DataFrame], deleted: list[DataFrame] | None = None)
 
 def merge_column(frames: list[DataFrame], column: str, distinct: bool = True) -> DataFrame:
     """(row_num, column): one column's values of all files in order, numbered anew. Columns merged this way don't stay
-    aligned with each other. The numbering is a running count over one ordered sequence, by design of the operation."""
+    aligned with each other."""
     _checked(frames)
     values = reduce(lambda a, b: a.unionAll(b), [df.select(column) for df in frames if column in df.columns])
     values = values.filter(F.col(column).isNotNull())
-    values = values.distinct() if distinct else values
-    return values.withColumn(ROW, F.row_number().over(Window.orderBy(column)).cast("bigint") - 1).select(ROW, column)
+    return number_rows(values.distinct() if distinct else values, column).select(ROW, column)
 
 
 def merge_keys(frames: list[DataFrame], column: str) -> DataFrame:
-    """(key, rows): the key indexes of all files merged, row sets of equal keys united."""
+    """(key, bucket, bits, n): the key indexes of all files merged, row sets of equal keys united as bitmaps."""
     _checked(frames)
     every = reduce(lambda a, b: a.unionAll(b), [df.select(F.col(column).alias("key"), ROW) for df in frames])
-    return every.filter("key IS NOT NULL").groupBy("key").agg(F.sort_array(F.collect_set(ROW)).alias("rows"))
+    bucket, bit = bit_of(F.col(ROW))
+    bits = every.filter("key IS NOT NULL").groupBy("key", bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"), F.min(ROW).alias("first_row"))
+    return bits.select("key", "bucket", "bits", F.bitmap_count("bits").alias("n"), "first_row")
 
 
 def merge_by_row(frames: list[DataFrame], column: str) -> DataFrame:

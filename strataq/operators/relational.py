@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .partition import broadcast_if_small
+
 COMPARE = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
@@ -26,13 +28,12 @@ def either(*conditions: Column) -> Column:
 
 
 def not_in(df: DataFrame, column: str, other: DataFrame, key: str) -> DataFrame:
-    """NOT IN (subquery) with SQL's NULL rules. Planned by Spark as a null-aware anti join, which ships the subquery's
-    distinct keys only; where those exceed the broadcast limit, write the condition as NOT EXISTS on non-null keys."""
-    session = df.sparkSession
-    left, right = f"not_in_left_{id(df)}", f"not_in_right_{id(other)}"
-    df.createOrReplaceTempView(left)
-    other.select(key).distinct().createOrReplaceTempView(right)
-    return session.sql(f"SELECT * FROM {left} WHERE `{column}` NOT IN (SELECT `{key}` FROM {right})")
+    """NOT IN (subquery) with SQL's NULL rules: an anti join on the subquery's distinct keys, broadcast only where their
+    estimated size allows it, and one row that says whether the subquery holds a NULL or nothing at all."""
+    keys = other.select(F.col(key).alias("_key"))
+    facts = keys.agg((F.count("*") == 0).alias("_none"), (F.count_if(F.col("_key").isNull()) > 0).alias("_null"))
+    left = df.join(broadcast_if_small(keys.filter("_key IS NOT NULL").distinct()), F.col(column) == F.col("_key"), "left_anti")
+    return left.join(F.broadcast(facts)).filter(F.col("_none") | (~F.col("_null") & F.col(column).isNotNull())).select(*df.columns)  # one row
 
 
 def theta_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", hint: str | None = None) -> DataFrame:

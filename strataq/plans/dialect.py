@@ -86,6 +86,76 @@ def rewrite(sql: str, calls: dict | None = None) -> str:
     return "".join(out)
 
 
+AGGREGATES = {"count", "sum", "avg", "min", "max"}
+ENDS = {"null", "true", "false", "end"}
+
+
+def _automatic(item: list[str]) -> str | None:
+    """The name of an unnamed select item; None for those that keep Spark's (columns, stars, constants) or have one."""
+    low = [t.lower() for t in item]
+    word = re.compile(r"[A-Za-z_]\w*|`[^`]*`|\"[^\"]*\"")
+    if not item or all(word.fullmatch(t) or t in ".*" for t in item) and (len(item) == 1 or "." in item):
+        return None
+    if len(item) > 1 and word.fullmatch(item[-1]) and low[-1] not in ENDS and (low[-2] == "as" or item[-2] in ")']" or word.fullmatch(item[-2]) or item[-2][0] in "'0123456789"):
+        return None  # named, with AS or without
+    if all(re.fullmatch(r"[\d.+-]|'.*'", t, re.DOTALL) for t in item):
+        return None  # constants
+    if low[0] == "case":
+        return "case_expr"
+    if low[0] == "(" and len(low) > 1 and low[1] == "select" and item[-1] == ")":
+        return "subquery"
+    depth, closed = 0, None
+    for k, t in enumerate(item):
+        depth += (t == "(") - (t == ")")
+        if t == ")" and depth == 0:
+            closed = k
+            break
+    if len(item) > 2 and word.fullmatch(item[0]) and item[1] == "(" and closed is not None and (closed == len(item) - 1 or low[closed + 1] == "over"):
+        argument = item[2:closed]
+        if low[0] in AGGREGATES and argument != ["*"] and all(word.fullmatch(t) or t == "." for t in argument):
+            return f"{low[0]}_{argument[-1].strip('`')}"
+        return low[0]
+    return "expr"
+
+
+def named(sql: str) -> str:
+    """Gives the unnamed items of the outermost select list names: count, sum_<column>, a function's name, case_expr,
+    subquery or expr. An aggregate's name that comes again gets _2, _3 and so on."""
+    parts, depth, k = tokens(sql), 0, 0
+    while k < len(parts) and not (depth == 0 and parts[k].lower() == "select"):
+        depth += (parts[k] == "(") - (parts[k] == ")")
+        k += 1
+    if k == len(parts):
+        return sql
+    start, items, here, at = k + 1, [], [], k + 1
+    rest = [t.lower() for t in parts[start:] if t.strip()]
+    if rest[:1] and rest[0] in ("distinct", "all"):
+        start = at = next(j for j in range(start, len(parts)) if parts[j].lower() == rest[0]) + 1
+    while at < len(parts):
+        t = parts[at]
+        depth += (t == "(") - (t == ")")
+        if depth < 0 or depth == 0 and t.lower() in ("from", "union", "intersect", "except", "where", "order", "limit", "group", "having", ";"):
+            break
+        if depth == 0 and t == ",":
+            items.append(here)
+            here = []
+        else:
+            here.append(t)
+        at += 1
+    items.append(here)
+    out, seen = [], {}
+    for item in items:
+        name = _automatic([t for t in item if t.strip() and not t.startswith(("--", "/*"))])
+        text = "".join(item)
+        if name is not None:
+            seen[name] = seen.get(name, 0) + 1
+            name += f"_{seen[name]}" if seen[name] > 1 else ""
+            body = text.rstrip()
+            text = f"{body} AS `{name}`{text[len(body):]}"
+        out.append(text)
+    return "".join(parts[:start]) + ",".join(out) + "".join(parts[at:])
+
+
 #: column types of CREATE TABLE: PostgreSQL spelling to Spark's
 TYPES = {
     "int2": "smallint", "int4": "int", "int8": "bigint", "integer": "int", "serial": "int", "bigserial": "bigint", "float4": "float", "float8": "double", "double precision": "double", "real": "float",

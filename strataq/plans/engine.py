@@ -83,7 +83,7 @@ class Engine:
         return f"parquet.`{path}`"
 
     def _rewritten(self, sql: str) -> str:
-        return dialect.rewrite(sql, dialect.CALLS | {"read_parquet": self._parquet_path})
+        return dialect.rewrite(dialect.named(sql), dialect.CALLS | {"read_parquet": self._parquet_path})
 
     def relations(self, sql: str) -> list[str]:
         """The names that a query reads, as Spark's parser sees them, without those of its own WITH clauses."""

@@ -9,14 +9,15 @@ from pyspark.sql import types as T
 BUCKETS = 10
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """One row for each atomic column, all from one aggregation."""
+def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """One row for each atomic column, all from one aggregation; distinct values by sketch, or exactly (which shuffles them)."""
+    distinct = F.count_distinct if exact else F.approx_count_distinct
     atomic = [f for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
     parts = []
     for f in atomic:
         c = F.col(f.name)
         text = F.avg(F.length(c)) if isinstance(f.dataType, T.StringType) else F.lit(None).cast("double")
-        parts.append(F.struct(F.lit(f.name).alias("column_name"), F.count("*").alias("n_rows"), F.approx_count_distinct(c).alias("n_distinct"), F.count_if(c.isNull()).alias("n_nulls"), F.min(c).cast("string").alias("min_value"), F.max(c).cast("string").alias("max_value"), text.alias("avg_length")))
+        parts.append(F.struct(F.lit(f.name).alias("column_name"), F.count("*").alias("n_rows"), distinct(c).alias("n_distinct"), F.count_if(c.isNull()).alias("n_nulls"), F.min(c).cast("string").alias("min_value"), F.max(c).cast("string").alias("max_value"), text.alias("avg_length")))
     return df.agg(F.array(*parts).alias("s")).select(F.inline("s"))
 
 

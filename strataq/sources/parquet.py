@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+FOOTERS_AT_ONCE = 16
+
+
 class SchemaMismatch(ValueError):
     """Files of one table differ in columns or types."""
 
@@ -30,10 +33,11 @@ def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         raise ValueError("no files given")
     first = spark.read.parquet(paths[0]).schema
-    for path in paths[1:]:
-        other = spark.read.parquet(path).schema
-        if fields(other) != fields(first):
-            raise SchemaMismatch(f"{path}: {fields(other)} differs from {paths[0]}: {fields(first)}")
+    others = list(dict.fromkeys(paths[1:]))
+    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
+        for path, other in zip(others, pool.map(lambda p: spark.read.parquet(p).schema, others)):
+            if fields(other) != fields(first):
+                raise SchemaMismatch(f"{path}: {fields(other)} differs from {paths[0]}: {fields(first)}")
     return spark.read.schema(first).parquet(*paths)
 
 
@@ -49,16 +53,14 @@ def schema_differences(existing: T.StructType, new: T.StructType) -> list[str]:
     return out
 
 
-def scan_url(spark: SparkSession, url: str) -> DataFrame:
-    """A Parquet file behind a URL. File systems that Spark knows are read in place; http(s) files are fetched once by
-    SparkContext.addFile, which hands every executor the file."""
-    scheme = urlparse(url).scheme
-    if scheme not in ("http", "https"):
-        return spark.read.parquet(url)
-    from pyspark import SparkFiles
+def scan_url(spark: SparkSession, url: str, columns: list[str] | None = None) -> DataFrame:
+    """A Parquet file behind a URL. File systems that Spark knows are read in place; of http(s) files the executors fetch
+    their row groups by range requests."""
+    if urlparse(url).scheme not in ("http", "https"):
+        return scan(spark, url, columns)
+    from . import http
 
-    spark.sparkContext.addFile(url)
-    return spark.read.parquet("file://" + SparkFiles.get(os.path.basename(urlparse(url).path)))
+    return http.scan(spark, url, columns)
 
 
 def write(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "snappy", partition_by: list[str] | None = None) -> None:

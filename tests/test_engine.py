@@ -1,9 +1,11 @@
 """The engine's statements, name resolution, dialect, cache and output formats on small fixtures."""
 
 import json
+import re
 
 import pytest
 
+from strataq.operators.relational import not_in
 from strataq.plans import dialect
 from strataq.plans.cache import ResultCache
 from strataq.plans.engine import Engine
@@ -176,3 +178,42 @@ def test_catalog(spark, data, tmp_path):
 def test_dialect_leaves_quoted_text_alone():
     assert dialect.rewrite("SELECT 'CONCAT(a)', \"now()\" /* TRIM(x) */") == "SELECT 'CONCAT(a)', \"now()\" /* TRIM(x) */"
     assert dialect.rewrite("concat(upper(concat(a, 'x')), b)") == "concat_ws('', upper(concat_ws('', a, 'x')), b)"
+
+
+def test_automatic_names():
+    names = lambda sql: re.findall(r"AS `([^`]*)`", dialect.named(sql))
+    assert names("SELECT COUNT(*), sum(a.x), SUM(x), avg(x) m, min(x) AS z, max(x + 1), x, a.x, a.*, 1, 'COUNT(*)' FROM t a") == ["count", "sum_x", "sum_x_2", "max"]
+    assert names("WITH c AS (SELECT count(*) AS n FROM t) SELECT DISTINCT upper(n), n + 1, CASE WHEN n > 1 THEN 2 END, (SELECT max(x) FROM u) FROM c") == ["upper", "expr", "case_expr", "subquery"]
+    assert names("SELECT extract(year FROM d), row_number() OVER (ORDER BY x), x IS NULL, x y, -1 FROM t UNION SELECT count(*) FROM u") == ["extract", "row_number", "expr"]
+    assert dialect.named("SELECT x FROM t") == "SELECT x FROM t" and dialect.named("VALUES (1)") == "VALUES (1)"
+
+
+def test_cache_sees_rewritten_files(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    engine = Engine(spark, data_path=str(tmp_path))
+    assert engine.execute("SELECT COUNT(*) FROM t").first()["count"] == 3
+    spark.range(5).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    engine.seen.clear()
+    assert engine.execute("SELECT COUNT(*) FROM t").first()["count"] == 8
+
+
+def test_not_in_with_nulls(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    right = lambda *v: spark.createDataFrame([(x,) for x in v], "y int")
+    found = lambda r: sorted((str(x[0]) for x in not_in(left, "x", r, "y").collect()))
+    assert found(right(2, 3)) == ["1"] and found(right(2, None)) == [] and found(right()) == ["1", "2", "None"]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("not_in")]
+
+
+def test_scratch_deletes_only_its_own(spark):
+    from pathlib import Path
+
+    from strataq import scratch
+
+    folder = Path(scratch.shared_dir(spark).removeprefix("file:"))
+    (folder / "others").mkdir(parents=True, exist_ok=True)
+    begun = scratch.mark(spark)
+    gone, kept = scratch.materialize(spark.range(3), "gone"), scratch.materialize(spark.range(4), "kept")
+    places = [Path(df.inputFiles()[0].removeprefix("file:")).parent for df in (gone, kept)]
+    scratch.drop_scratch(spark, begun, keep=kept)
+    assert [p.exists() for p in places] == [False, True] and (folder / "others").exists() and kept.count() == 4

@@ -9,7 +9,7 @@ import pytest
 from strataq.plans import queries as core
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
 @pytest.fixture(scope="module")

@@ -35,13 +35,29 @@ def test_predicates(index):
 
 
 def test_iteration(index):
-    keys = index.keys("age").collect()
-    assert [r.key for r in keys] == [20, 25, 30, 35, 40, 50] and keys[1].rows == [0, 4]
+    keys = index.keys("age")
+    assert [r.key for r in keys.collect()] == [20, 25, 30, 35, 40, 50]
+    assert {(r.key, r.row_num) for r in index.rows_of(keys).collect()} == {(a, k) for k, a, _ in ROWS if a is not None}
+    assert {r.key: (r.n, r.first_row) for r in index.key_counts(keys).collect()}[25] == (2, 0)
     assert [r.key for r in index.keys("age", True, 25, 40).collect()] == [40, 35, 30, 25]
     assert index.seek("age", 36).first().key == 40 and index.seek("age", 36, False).first().key == 35
     assert index.seek("age", 99).count() == 0
 
 
+def test_bitmaps_name_their_rows(spark):
+    rows = [0, 1, 2, 8, 32_767, 32_768, 32_769, 65_536, 65_537, 10**10]
+    x = RowIndex(spark.createDataFrame([(r, "a") for r in rows] + [(5, "b")], "row_num bigint, k string"))
+    assert sorted((r.key, r.row_num) for r in x.rows_of(x.keys("k")).collect()) == [*(("a", r) for r in rows), ("b", 5)]
+
+
+def test_key_tree(spark, tmp_path):
+    pairs = spark.createDataFrame([(k % 7, k) for k in range(50)], "key int, row_num bigint")
+    tree = RowIndex.bulk_load(pairs, f"{tmp_path}/tree")
+    assert nums(tree.find("key", 3)) == [k for k in range(50) if k % 7 == 3]
+    assert [(r.key, r.row_num) for r in tree.range_search("key", 2, 3).collect()] == [(x, k) for x in (2, 3) for k in range(50) if k % 7 == x]
+    assert "EqualTo(key,3)" in tree.find("key", 3)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tombstones(index):
     gone = index.delete(index.rows(index.eq("age", 25)))
     assert nums(gone.rows(index.not_null("age"), live=True)) == [1, 2, 5, 6, 8, 9]
@@ -64,13 +80,34 @@ def test_numbering_follows_the_order(spark, values):
     assert got == {k: n for n, (_, k) in enumerate(sorted((v, k) for k, v in enumerate(values)))}
 
 
+@pytest.mark.parametrize("partitions", ["1", "4", "8"])
+def test_numbering_of_wide_rows(spark, partitions):
+    """Rows of a kilobyte, a third of them under one key, on different numbers of partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        wide = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "repeat(CAST(id AS STRING), 250) AS pad")
+        numbered = number_rows(wide, "k")
+        for _ in range(2):  # every read gives the same numbers
+            got = sorted((r.row_num, r.k, r.id) for r in numbered.select("row_num", "k", "id").collect())
+            assert [n for n, *_ in got] == list(range(6000)) and [k for _, k, _ in got] == sorted(k for _, k, _ in got)
+        assert numbered.filter("row_num >= 100 AND row_num < 110").count() == 10
+        assert len({i for *_, i in got}) == 6000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbering_of_nothing(spark):
+    assert number_rows(spark.createDataFrame([], "v int"), "v").collect() == []
+
+
 def test_merge(spark):
     a = spark.createDataFrame([(0, "x", 1), (1, "y", 2)], "row_num bigint, k string, v int")
     b = spark.createDataFrame([(0, "y", 5, None), (1, "z", 6, "o")], "row_num bigint, k string, v int, note string")
     assert merge.merge_rows([a, b]).count() == 4
     assert [(r.file_idx, r.row_num) for r in merge.merge_rows([a, b], [spark.createDataFrame([(0,)], "row_num bigint")]).orderBy("file_idx").collect()] == [(0, 1), (1, 1)]
-    assert [(r.row_num, r.k) for r in merge.merge_column([a, b], "k").collect()] == [(0, "x"), (1, "y"), (2, "z")]
-    assert {r.key: r.rows for r in merge.merge_keys([a, b], "k").collect()} == {"x": [0], "y": [0, 1], "z": [1]}
+    assert sorted((r.row_num, r.k) for r in merge.merge_column([a, b], "k").collect()) == [(0, "x"), (1, "y"), (2, "z")]
+    assert sorted(map(tuple, RowIndex.rows_of(merge.merge_keys([a, b], "k")).collect())) == [("x", 0), ("y", 0), ("y", 1), ("z", 1)]
     assert {(r.k, r.v) for r in merge.keep_latest([a, b], "k").collect()} == {("x", 1), ("y", 5), ("z", 6)}
     with pytest.raises(SchemaMismatch):
         merge.merge_rows([a, spark.createDataFrame([(0, 7)], "row_num bigint, k int")])
