@@ -8,14 +8,27 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+MAX_BROADCAST_ROWS = 200_000
+
+
+def attach(big: DataFrame, small: DataFrame, key: str, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """big with the columns of small, which is written and has one row for each key.
+
+    A small table is broadcast behind a count of its rows, so a hot key stays where its rows are; beyond `most` rows it is a
+    shuffled join, whose hot partitions adaptive execution splits.
+    """
+    return big.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, key)
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a long, b long): component is the smallest node reachable.
 
-    Each round rewires links towards smaller nodes; the table never grows beyond its first size, rounds grow with the
-    logarithm of a component's size, and nothing but one count reaches the driver. Large hubs are combined on the map side.
+    Each round rewires links towards smaller nodes, until nothing but stars is left; the table never grows beyond its first
+    size, rounds grow with the logarithm of a component's size, and nothing but one count reaches the driver. Large hubs are
+    combined on the map side, and the joins by hub are plain joins, whose hot partitions adaptive execution splits.
     """
     links = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    for _ in range(most_rounds):
+    while True:
         # large star: each node's larger neighbours move to its smallest neighbour
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

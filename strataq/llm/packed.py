@@ -11,7 +11,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .scratch import fresh_path
+from .scratch import fresh_path, remember_table
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -96,6 +96,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Writes df bucketed by key, so that cogrouping it by key moves none of it."""
     spark = df.sparkSession
     table = f"strataq_{name}_{uuid.uuid4().hex}"
+    remember_table(spark, table)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, key).option("path", fresh_path(spark, name)).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)

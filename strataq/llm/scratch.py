@@ -1,57 +1,7 @@
-"""Tables that cut lineage, kept in the shared folder the cluster names in spark.checkpoint.dir."""
+"""The library's tables that cut lineage (../scratch.py), under the name that the corpus operators use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+from ..scratch import drop_scratch, fresh_path, mark, materialize, remember_table, shared_dir, ship
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder stands in only where it is unset and the master is local."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='strataq-')}")
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once and reads it back: later jobs start from files that survive lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes every table written by this module (call it once the results have been read)."""
-    jvm, where = spark.sparkContext._jvm, shared_dir(spark)
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once an application, so that they need no copy on their own paths."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="strataq-ship-")) / "strataq_package.zip"
-    with zipfile.ZipFile(target, "w") as bundle:
-        for path in sorted(root.rglob("*.py")):
-            bundle.write(path, path.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
+__all__ = ["drop_scratch", "fresh_path", "mark", "materialize", "remember_table", "shared_dir", "ship"]

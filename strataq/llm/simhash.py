@@ -11,29 +11,38 @@ two bits of each other share one of the Golay codeword indices next to them or t
   (half of i, half of j, near(segment k)).
 
 So no link is lost, with about a hundred keys of 34 bits for a fingerprint; unrelated fingerprints hardly ever share one.
-Fingerprints that share a key are compared exactly, block by block in numpy, and a block only emits a spanning forest of
-its links, never all pairs. A key with more than BLOCK fingerprints is split: its rows are dealt into blocks and every two
-blocks meet in a task of their own.
+Fingerprints that share a key meet in one shuffle and are compared exactly in numpy; only a spanning forest of their links
+comes out, never all pairs. Where more than BLOCK fingerprints share a key, they are handed on instead as a stream, each
+fingerprint once, to the next of LEVELS: within four bits of each other they agree on two of six parts, and if that is still
+crowded on four of eight, and meet by these parts. So a hot key costs at most 15 and 70 rows for each of its fingerprints,
+whatever their number. Fingerprints that agree even on 32 bits are swept in one task, at 8 bytes each; the sweep's time is
+at worst the square of their number, but short where most of them are near each other.
 
 Components are found by star steps over the link table in Spark.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer than four words are one
-shingle; null ids stay rows, take part in linking and are never a component's id unless the whole component has none;
-repeated ids and rows keep their rows; extra columns are ignored by `near_duplicates` and carried by `keep_one`.
+shingle; a text of any length is hashed whole; null ids stay rows, take part in linking and are never a component's id
+unless the whole component has none; repeated ids and rows keep their rows; extra columns are ignored by `near_duplicates`
+and carried by `keep_one`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay, jaccard
 from .bpe import text_batches
-from .components import components
+from .components import attach, components
 from .scratch import materialize, ship
 
-SHINGLE, MOST_BITS, BLOCK, MAX_BROADCAST_KEYS = 4, 4, 4096, 100_000
+SHINGLE, MOST_BITS, BLOCK = 4, 4, 4096
+#: (parts of 64 bits, parts that two fingerprints within four bits have in common)
+LEVELS = ((6, 2), (8, 4))
 #: (low bit, width) of the segments
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
@@ -98,78 +107,106 @@ def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def part_keys(fps: np.ndarray, parts: int, equal: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, keys): a hash for each choice of `equal` of the `parts` of each fingerprint."""
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    values = [(fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in itertools.pairwise(cuts)]
+    keys = []
+    with np.errstate(over="ignore"):
+        for tag, chosen in enumerate(itertools.combinations(range(parts), equal)):
+            key = np.full(len(fps), tag + 1, np.uint64)
+            for k in chosen:
+                key = (key ^ values[k]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            keys.append(key)
+    return np.tile(np.arange(len(fps)), len(keys)), np.concatenate(keys).view(np.int64)
+
+
 def forest(every: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
     """Links that connect whatever links of at most `most` bits connect among distinct fingerprints.
 
     A breadth-first sweep: each fingerprint is compared with those not reached yet, so at most len - 1 links come out.
     """
-    left, out = np.ones(len(every), bool), []
-    while True:
-        rest = np.flatnonzero(left)
-        if len(rest) < 2:
-            return out
-        left[rest[0]] = False
-        todo = [rest[0]]
-        while todo:
+    rest, out = every, []
+    while len(rest) > 1:
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
             here = todo.pop()
-            rest = np.flatnonzero(left)
-            found = rest[np.bitwise_count(every[rest] ^ every[here]) <= most]
-            left[found] = False
-            out += [(int(every[here]), int(every[x])) for x in found]
-            todo += found.tolist()
+            near = np.bitwise_count(rest ^ here) <= most
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                out += [(int(here), int(x)) for x in found]
+                todo += list(found)
+    return out
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): a spanning set of the links between the distinct fingerprints fp."""
-    ship(distinct.sparkSession)
+def meetings(fps: DataFrame, keys_of, block: int | None) -> DataFrame:
+    """(a, b): links among fingerprints fp that share a key; (a, null): those of keys with more than `block` fingerprints."""
 
     def keyed(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(0, len(fps), 20_000):
-                rows, keys = segment_keys(fps[k : k + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[k : k + 20_000][rows].view(np.int64))], ["key", "fp"])
-
-    keys = materialize(distinct.select("fp").mapInArrow(keyed, "key long, fp long"), "simhash-keys")
-    # keys above `block` fingerprints are split into pairs of blocks; they are few, and checked to be so before a broadcast
-    hot = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "simhash-hot")
-    hot = F.broadcast(hot) if hot.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS else hot
-    shared = keys.join(hot, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    meet = F.expr("IF(blocks = 1, array(0), transform(sequence(0, blocks - 1), o -> least(o, _mine) * blocks + greatest(o, _mine)))")
-    dealt = shared.withColumn("_mine", mine).withColumn("cell", F.explode(meet)).select(F.xxhash64("key", "cell").alias("deal"), "key", "cell", "fp")
+            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(0, len(every), 20_000):
+                rows, keys = keys_of(every[k : k + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(every[k : k + 20_000][rows].view(np.int64))], ["key", "fp"])
 
     def compare(batches):
-        """Rows come sorted by (key, cell); a cell has at most about two blocks of fingerprints."""
+        """Rows come sorted by key. At most `block` fingerprints of a key that goes on are held."""
         import pyarrow as pa
 
-        rest = np.empty((3, 0), np.int64)
-
-        def linked(rows):
-            """Links of whole cells, laid end to end."""
-            cuts = np.flatnonzero((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])) + 1
-            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [rows.shape[1]]])
-            many = np.flatnonzero(stops - starts > 1)
-            pairs = [p for k in many.tolist() for p in forest(np.unique(rows[2, starts[k] : stops[k]].view(np.uint64)))]
+        rest, hot = np.empty((2, 0), np.int64), None
+
+        def linked(rows, late):
+            """Links of whole keys laid end to end, and the fingerprints that are handed on."""
+            starts = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] - 1 if rows.shape[1] else 0))
+            sizes = np.diff(np.append(starts, rows.shape[1]))
+            pairs = []
+            for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+                if block is not None and n > block:
+                    late = np.concatenate([late, rows[1, a : a + n]])
+                else:
+                    pairs += forest(np.unique(rows[1, a : a + n].view(np.uint64)))
             pairs = np.unique(np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            late = np.unique(late)
+            left, right = np.concatenate([pairs[:, 0], late]), np.concatenate([pairs[:, 1], late])
+            return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right, mask=np.arange(len(right)) >= len(pairs))], ["a", "b"])
 
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "cell", "fp")])
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "fp")])
+            late = np.empty(0, np.int64)
+            if hot is not None and rows.shape[1]:  # more of a key whose first fingerprints are handed on
+                more = int(np.searchsorted(rows[0], hot, "right"))
+                late, rows = rows[1, :more], rows[:, more:]
+                hot = hot if not rows.shape[1] else None
             rows = np.concatenate([rest, rows], axis=1)
-            # the last cell may go on in the next batch
-            whole = rows.shape[1] - 1
-            same = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
-            whole = int(np.argmax(same)) if same.any() else whole
-            rest = rows[:, whole:].copy()
-            if whole:
-                yield linked(rows[:, :whole])
+            # the last key may go on in the next batch
+            whole = int(np.searchsorted(rows[0], rows[0, -1], "left")) if rows.shape[1] else 0
+            rows, rest = rows[:, :whole], rows[:, whole:].copy()
+            if block is not None and rest.shape[1] > block:
+                hot, late, rest = int(rest[0, 0]), np.concatenate([late, rest[1]]), rest[:, :0]
+            yield linked(rows, late)
         if rest.shape[1]:
-            yield linked(rest)
+            yield linked(rest, np.empty(0, np.int64))
 
-    return dealt.repartition("deal").sortWithinPartitions("key", "cell").select("key", "cell", "fp").mapInArrow(compare, "a long, b long").distinct()
+    keys = fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    return keys.mapInArrow(compare, "a long, b long").distinct()
+
+
+def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): a spanning set of the links between the distinct fingerprints fp."""
+    ship(distinct.sparkSession)
+    levels = [segment_keys, *(functools.partial(part_keys, parts=p, equal=e) for p, e in LEVELS)]
+    found, todo = None, distinct
+    for k, keys_of in enumerate(levels):
+        met = materialize(meetings(todo, keys_of, block if k < len(LEVELS) else None), "simhash-links")
+        mine = met.filter("b IS NOT NULL")
+        found = mine if found is None else found.unionByName(mine)
+        todo = met.filter("b IS NULL").select(F.col("a").alias("fp"))
+        if todo.isEmpty():
+            break
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -179,11 +216,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def component_of(rows: DataFrame) -> DataFrame:
-    """(fp, component_id): one row for each distinct fingerprint."""
-    of = materialize(component_of_fp(rows), "fp-components")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    least = of.join(first, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return of.join(least, "component").select("fp", "component_id")
+    """(fp, component_id): one row for each distinct fingerprint. Only fingerprints that have links meet by component."""
+    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
+    of = components(links(first)).withColumnRenamed("node", "fp")
+    of = materialize(of.join(first, "fp"), "fp-components")
+    least = materialize(of.groupBy("component").agg(F.min("first_id").alias("component_id")), "least-ids")
+    linked = attach(of.select("fp", "component"), least, "component").select("fp", F.col("component_id").alias("_id"))
+    return first.join(linked, "fp", "left").select("fp", F.coalesce("_id", "first_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -198,13 +237,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return rows.join(first, "_row", "left_semi").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
-def component_of_fp(rows: DataFrame) -> DataFrame:
-    """(fp, component): component is a fingerprint of the group."""
-    distinct = materialize(rows.select("fp").distinct(), "distinct-fps")
-    of = distinct.join(components(links(distinct)).withColumnRenamed("node", "fp"), "fp", "left")
-    return of.select("fp", F.coalesce("component", "fp").alias("component"))
-
-
 def op6_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

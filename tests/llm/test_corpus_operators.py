@@ -87,6 +87,24 @@ def test_near_duplicate_query(spark, rows):
         assert int(r.fingerprint, 16) == fps[r.doc_id] and len(r.fingerprint) == 16 and r.component_id == sets.find(r.doc_id)
 
 
+def wanted_groups(made):
+    want, u = Sets(), np.array(made).view(np.uint64)
+    for k in range(len(made)):
+        for j in np.flatnonzero(np.bitwise_count(u[k:] ^ u[k]) <= 4):
+            want.join(made[k], made[k + j])
+    return want
+
+
+def check_links(spark, made, block):
+    want, got = wanted_groups(made), Sets()
+    found = simhash.links(spark.createDataFrame([(x,) for x in made], "fp long"), block).collect()
+    for r in found:
+        assert bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= 4
+        got.join(r.a, r.b)
+    assert all(want.find(x) == got.find(x) for x in made)
+    return len({want.find(x) for x in made})
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_links_in_blocks(spark, block):
     rnd, made = np.random.default_rng(0), set()
@@ -96,20 +114,41 @@ def test_links_in_blocks(spark, block):
             for bit in rnd.choice(64, rnd.integers(0, 6), replace=False):
                 x ^= np.uint64(1) << np.uint64(bit)
             made.add(int(np.uint64(x).view(np.int64)))
-    made = sorted(made)
-    want, got, u = Sets(), Sets(), np.array(made).view(np.uint64)
-    for k in range(len(made)):
-        for j in np.flatnonzero(np.bitwise_count(u[k:] ^ u[k]) <= 4):
-            want.join(made[k], made[k + j])
-    found = simhash.links(spark.createDataFrame([(x,) for x in made], "fp long"), block).collect()
-    for r in found:
-        assert bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= 4
-        got.join(r.a, r.b)
-    assert all(want.find(x) == got.find(x) for x in made)
+    check_links(spark, sorted(made), block)
+
+
+def test_links_of_a_hot_key(spark):
+    """Thousands of fingerprints under one key, far more than a block, in batches and levels."""
+    rnd = np.random.default_rng(5)
+    low = np.unique(rnd.integers(0, 2**22, 6000, np.uint64))  # segments two and three are one and the same
+    tight = np.unique(rnd.integers(0, 2**13, 900, np.uint64)) | np.uint64(1 << 60)
+    made = [int(x) for x in np.concatenate([low | np.uint64(0xABCDE << 22), tight, tight << np.uint64(20)])]
+    assert 1 < check_links(spark, made, 500) < len(made)
+
+
+def test_part_keys_lose_no_link():
+    rnd = np.random.default_rng(2)
+    a = rnd.integers(0, 2**63, 1000).astype(np.uint64)
+    b = a.copy()
+    for k in range(len(b)):
+        for bit in rnd.choice(64, rnd.integers(0, 5), replace=False):
+            b[k] ^= np.uint64(1) << np.uint64(bit)
+    for parts, equal in simhash.LEVELS:
+        left, right = (simhash.part_keys(x, parts, equal)[1].reshape(-1, len(a)) for x in (a, b))
+        assert (left == right).any(0).all()
+
+
+def test_hundred_thousand_fingerprints_of_one_key(spark):
+    made = np.unique(np.random.default_rng(6).integers(0, 2**20, 130_000)) + (0xABC << 40)
+    assert len(made) > 100_000 and len(set(simhash.segment_keys(made[:1].astype(np.uint64))[1]) & set(simhash.segment_keys(made[-1:].astype(np.uint64))[1]))
+    import pandas as pd
+
+    got = components(simhash.links(spark.createDataFrame(pd.DataFrame({"fp": made}))))
+    assert got.count() == len(made) and got.select("component").distinct().count() == 1  # a tenth of all 20-bit words is connected
 
 
 def test_components_of_chains_and_hubs(spark):
-    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (202, 201)]
+    links = [(k, k + 1) for k in range(3000, 7000)] + [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (202, 201)]
     want = Sets()
     for a, b in links:
         want.join(a, b)
