@@ -2,17 +2,22 @@
 
 Every document gets whole-text measures. Each measure is summarised per language and source in a mergeable quantile
 sketch: a log-linear histogram (values keep their five leading bits below the top one, so a quantile is off by at most
-1/32), which is a plain map-side combined count and merges by adding counts. Thresholds are fences around the middle
-half of a group's documents, not fixed cut-offs:
+1/32), which is a plain map-side combined count and merges by adding counts. No cut-off is given in absolute terms; each
+follows from the quantiles of its group:
 
-    high = q75 + SPREAD * (q75 - q25) + slack        low = q25 - SPREAD * (q75 - q25) - slack
+    high = tail + spread * (tail - median)        low = (100 - tail)% quantile - spread * (median - that quantile)
 
-A (language, source) group with fewer than MIN_GROUP documents uses the merged sketch of its language, and that of the
-whole corpus if the language is small too. The verdicts come from a join with the thresholds.
+`tail` is the quantile that still counts as normal (LEVELS: 90 % for symbols and word lengths, 99 % for repetition, which is
+rarer) and `spread` says how far beyond it a document must lie. Quantiles and documents are compared as cells of the sketch. Small groups are shrunk towards what is known of larger
+ones: quantiles are taken from the group's sketch with the sketch of its language and that of the whole corpus added, each
+scaled to PRIOR documents. The verdicts come from a join with the thresholds.
 
-Defined results: a null text counts as empty (no words, base_failed); null language or source is a group of its own;
-repeated rows and repeated ids each keep their row; extra columns pass through `score` untouched unless they clash with
-a measure's name, in which case the measure wins; an empty table gives an empty result.
+Symbols are counted less two standard errors of their count, so that a handful of them in a short text is no rate.
+
+Defined results: a null text counts as empty (no words, base_failed); a text of any length is measured whole; null language
+or source is a group of its own; null ids, repeated rows and repeated ids each keep their row; extra columns pass through
+`score` untouched, whatever their names, unless they clash with a measure's name or `kept`, in which case the result's wins;
+an empty table gives an empty result. Documents of equal measures and group get equal verdicts.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-SPREAD, MIN_GROUP, MAX_BROADCAST_GROUPS = 6, 200, 100_000
-#: measure: (SQL of an integer, slack, has a low fence)
+PRIOR, MAX_BROADCAST_GROUPS = 100, 100_000
+#: measure: (SQL of an integer, its level)
 MEASURES = {
-    "symbol_permille": ("n_symbols * 1000 div greatest(word_chars, 1)", 50, False),
-    "dup_line_permille": ("n_dup_lines * 1000 div greatest(n_words, 1)", 150, False),
-    "repeat_permille": ("n_repeat_words * 1000 div greatest(n_words, 1)", 200, False),
-    "word_len_percent": ("word_chars * 100 div greatest(n_words, 1)", 250, True),
+    "symbol_permille": ("greatest(n_symbols - CAST(ceil(2 * sqrt(n_symbols)) AS BIGINT), 0) * 1000 div greatest(word_chars, 1)", "bulk"),
+    "dup_line_permille": ("n_dup_lines * 1000 div greatest(n_words, 1)", "rare"),
+    "repeat_permille": ("n_repeat_words * 1000 div greatest(n_words, 1)", "rare"),
+    "word_len_percent": ("word_chars * 100 div greatest(n_words, 1)", "both"),
 }
+#: level: (tail in percent, twice the spread, has a low fence)
+LEVELS = {"bulk": (90, 8, False), "rare": (99, 1, False), "both": (90, 8, True)}
 SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
 _COVER = """
 transform(array(sort_array(transform(h, (x, i) -> struct(x, i)))), s ->
@@ -37,16 +44,19 @@ transform(array(sort_array(transform(h, (x, i) -> struct(x, i)))), s ->
       IF(coalesce(get(s, k - 1).x = e.x, false) OR coalesce(get(s, k + 1).x = e.x, false), e.i, -1)), p -> p >= 0))), p ->
     aggregate(transform(p, (q, k) -> least(5, coalesce(get(p, k + 1) - q, 5))), 0L, (a, b) -> a + b))[0])[0]
 """
+_FIVE = ", ".join(f"g[i + {k}]" for k in range(5))
 _REPEATS = f"""
-transform(array(IF(size(_w) >= 5, transform(sequence(1, greatest(size(_w) - 4, 1)), i -> xxhash64(slice(_w, i, 5))), array())), h ->
-  CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {_COVER} END)[0]
+transform(array(transform(_w, w -> xxhash64(w))), g ->
+  transform(array(IF(size(g) >= 5, transform(sequence(0, greatest(size(g) - 5, 0)), i -> xxhash64({_FIVE})), array())), h ->
+    CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {_COVER} END)[0])[0]
 """
 _LINES = "filter(split(coalesce(text, ''), '\\n'), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with the base counts and the integer measures. Five-word windows are compared by 64-bit hash within one text."""
+    """docs with the base counts and the integer measures. Five-word windows are compared by 64-bit hashes of their words'
+    hashes within one text."""
     names = {"_w", "_l", *BASE, *MEASURES}
     df = docs.drop(*[c for c in docs.columns if c.lower() in names])
     df = df.withColumn("_w", F.expr(f"array_remove(split(coalesce(text, ''), '{SPACE}'), '')")).withColumn("_l", F.expr(_LINES))
@@ -75,56 +85,79 @@ def sketch(measured: DataFrame) -> DataFrame:
     return flat.groupBy("lang", "source", "measure", "cell").agg(F.count("*").alias("n"))
 
 
+def _by_level(pick) -> str:
+    """SQL that gives each measure a number of its level."""
+    return "CASE measure " + " ".join(f"WHEN '{m}' THEN {pick(LEVELS[level])}" for m, (_, level) in MEASURES.items()) + " END"
+
+
 def thresholds(cells: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) for every group of the sketch."""
-    # the three levels are merges of one sketch; the sketch has at most a few hundred cells for each group
-    levels = cells.groupBy("measure", "cell", "lang", "source").agg(F.sum("n").alias("n")).withColumn("level", F.lit(0))
-    levels = levels.unionByName(cells.groupBy("measure", "cell", "lang").agg(F.sum("n").alias("n")).withColumns({"source": F.lit(None).cast("string"), "level": F.lit(1)}))
-    levels = levels.unionByName(cells.groupBy("measure", "cell").agg(F.sum("n").alias("n")).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "level": F.lit(2)}))
-    key = ["level", "lang", "source", "measure"]
-    cells_of = F.expr("sort_array(collect_list(struct(cell, n)))")
-    at = lambda p: F.expr(f"aggregate(_c, struct(0L AS seen, CAST(NULL AS BIGINT) AS v), (a, c) -> struct(a.seen + c.n AS seen, IF(a.v IS NULL AND 100 * (a.seen + c.n) >= {p} * total, c.cell, a.v) AS v), a -> a.v)")
-    fences = levels.groupBy(*key).agg(F.sum("n").alias("total"), cells_of.alias("_c")).select(*key, "total", at(25).alias("q25"), at(75).alias("q75"))
-    slack = F.expr("CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, (_, s, _) in MEASURES.items()) + " END")
-    fences = fences.withColumns({"high": F.expr(f"q75 + {SPREAD} * (q75 - q25)") + slack, "low": F.expr(f"q25 - {SPREAD} * (q75 - q25)") - slack})
-    pick = lambda n, *cols: fences.filter(F.col("level") == n).select("measure", *cols)
-    own = pick(0, "lang", "source", "total", "high", "low")
-    lang = pick(1, F.col("lang").alias("_lang"), F.col("total").alias("_t1"), F.col("high").alias("_h1"), F.col("low").alias("_l1")).withColumnRenamed("measure", "_m1")
-    every = pick(2, F.col("high").alias("_h2"), F.col("low").alias("_l2")).withColumnRenamed("measure", "_m2")
-    long = own.join(lang, (own["measure"] == lang["_m1"]) & own["lang"].eqNullSafe(lang["_lang"])).join(every, own["measure"] == every["_m2"])
-    for c in ("high", "low"):
-        long = long.withColumn(c, F.expr(f"CASE WHEN total >= {MIN_GROUP} THEN {c} WHEN _t1 >= {MIN_GROUP} THEN _{c[0]}1 ELSE _{c[0]}2 END"))
+    """(_lang, _source, <measure>_low, <measure>_high) for every group of the sketch."""
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    total = lambda *key: cells.groupBy("measure", *key).agg(F.sum("n").alias("total"))
+    groups = cells.select("measure", "lang", "source").distinct()
+    own = cells.select("measure", "lang", "source", "cell", exact("n").alias("own"))
+    # the sketches of language and corpus are merges of the groups' and have at most a few hundred cells a measure
+    lang = cells.groupBy("measure", "lang", "cell").agg(F.sum("n").alias("n"))
+    corpus = cells.groupBy("measure", "cell").agg(F.sum("n").alias("n"))
+
+    def meet(a, b, *key):
+        """a joined with b by measure and key, where nulls are equal."""
+        b = b.select(*[F.col(c).alias(f"_b_{c}") if c in ("measure", "lang") else F.col(c) for c in b.columns])
+        return a.join(b, [F.col("measure") == F.col("_b_measure"), *(F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in key)])
+
+    def spread_out(sketch, *key):
+        """A sketch's cells for each group below it."""
+        return meet(groups, sketch, *key).select("measure", "lang", "source", "cell", exact("n").alias("more"))
+
+    none = F.lit(0).cast("decimal(38,0)")
+    every = own.withColumns({"more_l": none, "more_c": none})
+    every = every.unionByName(spread_out(lang, "lang").withColumnRenamed("more", "more_l").withColumns({"own": none, "more_c": none}))
+    every = every.unionByName(spread_out(corpus).withColumnRenamed("more", "more_c").withColumns({"own": none, "more_l": none}))
+    merged = every.groupBy("measure", "lang", "source", "cell").agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in ("own", "more_l", "more_c")])
+    merged = meet(merged, total("lang").withColumnRenamed("total", "_tl"), "lang").drop("_b_measure", "_b_lang")
+    merged = meet(merged, total().withColumnRenamed("total", "_tc"))
+    # own + PRIOR * more_l / _tl + PRIOR * more_c / _tc, in whole numbers
+    weight = F.expr(f"CAST(own * _tl * _tc + {PRIOR} * more_l * _tc + {PRIOR} * more_c * _tl AS DECIMAL(38,0))")
+    weighed = merged.select("measure", "lang", "source", "cell", weight.alias("weight"))
+    cells_of = F.expr("sort_array(collect_list(struct(cell, weight)))")
+    at = lambda p: F.expr(f"aggregate(_c, struct(CAST(0 AS DECIMAL(38,0)) AS seen, CAST(NULL AS BIGINT) AS v), (a, c) -> struct(CAST(a.seen + c.weight AS DECIMAL(38,0)) AS seen, IF(a.v IS NULL AND 100 * (a.seen + c.weight) >= ({p}) * _whole, c.cell, a.v) AS v), a -> a.v)")
+    tail = _by_level(lambda x: x[0])
+    found = weighed.groupBy("measure", "lang", "source").agg(F.sum("weight").cast("decimal(38,0)").alias("_whole"), cells_of.alias("_c"))
+    found = found.select("measure", "lang", "source", at(tail).alias("tail"), at("50").alias("mid"), at(f"100 - {tail}").alias("foot"))
+    twice = _by_level(lambda x: x[1])
+    found = found.withColumns({"high": F.expr(f"tail + ({twice}) * (tail - mid) div 2"), "low": F.expr(f"foot - ({twice}) * (mid - foot) div 2")})
     wide = [F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in MEASURES for c in ("high", "low")]
-    return long.groupBy("lang", "source").agg(*wide)
+    return found.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*wide)
 
 
 def score(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """docs (or only its `carry` columns, lang and source among them) with the measures and `kept`.
+    """docs (or only its `carry` columns) with the measures and `kept`.
 
     The measured rows are written once, so texts are scanned a single time.
     """
-    measured = measure(docs)
-    if carry is not None:
-        measured = measured.select(*carry, *BASE, *MEASURES)
-    measured = materialize(measured, "quality")
+    given = docs.columns if carry is None else carry
+    # the input's columns travel as one, so that none of their names can meet a working column
+    keep = [c for c in given if c.lower() not in {*BASE, *MEASURES, "kept"}]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), "text", "lang", "source")
+    measured = materialize(measure(whole).drop("text"), "quality")
     fences = materialize(thresholds(sketch(measured)), "fences")
     # groups are languages times sources; broadcast them only while their number is small, else let the join shuffle
     if fences.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
         fences = F.broadcast(fences)
-    fences = fences.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     joined = measured.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     bad = F.lit(False)
-    for m, (_, _, low) in MEASURES.items():
-        bad = bad | (F.col(m) > F.col(f"{m}_high"))
-        bad = bad | (F.col(m) < F.col(f"{m}_low")) if low else bad
+    for m, (_, level) in MEASURES.items():
+        cell = F.expr(_floor(m))  # as the sketch sees it
+        bad = bad | (cell > F.col(f"{m}_high"))
+        bad = bad | (cell < F.col(f"{m}_low")) if LEVELS[level][2] else bad
     kept = ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))
-    return joined.select(*[c for c in measured.columns if c != "kept"], kept.alias("kept"))
+    return joined.select(*[F.col(f"_doc.`{c}`").alias(c) for c in keep], *BASE, *MEASURES, kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rejected ones, columns unchanged."""
-    work = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "source")
-    return score(work, ["_doc", "lang", "source"]).filter("kept").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), "text", "lang", "source")
+    return score(work, ["_whole"]).filter("kept").select(*[F.col(f"_whole.`{c}`").alias(c) for c in docs.columns])
 
 
 _MEASURE_SQL = ", ".join(f"{sql.replace(' div ', ' // ')} AS {name}" for name, (sql, *_) in MEASURES.items())
@@ -146,26 +179,28 @@ b AS (
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {_MEASURE_SQL} FROM b),
 cells AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS measure, {_CELL.format(x)}::BIGINT AS cell FROM m WHERE NOT base_failed" for x in MEASURES)}),
 sk AS (SELECT lang, source, measure, cell, count(*) AS n FROM cells GROUP BY ALL),
-lv AS (SELECT 0 AS level, lang, source, measure, cell, n FROM sk
-       UNION ALL SELECT 1, lang, NULL, measure, cell, sum(n) FROM sk GROUP BY lang, measure, cell
-       UNION ALL SELECT 2, NULL, NULL, measure, cell, sum(n) FROM sk GROUP BY measure, cell),
-cu AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY cell) AS seen,
-       sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM lv),
-q AS (SELECT level, lang, source, measure, max(total) AS total, min(cell) FILTER (100 * seen >= 25 * total) AS q25,
-      min(cell) FILTER (100 * seen >= 75 * total) AS q75 FROM cu GROUP BY level, lang, source, measure),
-f AS (SELECT *, CASE measure {" ".join(f"WHEN '{x}' THEN {s}" for x, (_, s, _) in MEASURES.items())} END AS slack FROM q),
-t AS (SELECT level, lang, source, measure, total, q75 + {SPREAD} * (q75 - q25) + slack AS high, q25 - {SPREAD} * (q75 - q25) - slack AS low FROM f),
-g AS (SELECT a.lang, a.source, a.measure,
-      CASE WHEN a.total >= {MIN_GROUP} THEN a.high WHEN l.total >= {MIN_GROUP} THEN l.high ELSE e.high END AS high,
-      CASE WHEN a.total >= {MIN_GROUP} THEN a.low WHEN l.total >= {MIN_GROUP} THEN l.low ELSE e.low END AS low
-      FROM t a JOIN t l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM a.lang AND l.measure = a.measure
-      JOIN t e ON e.level = 2 AND e.measure = a.measure WHERE a.level = 0)
+gr AS (SELECT DISTINCT measure, lang, source FROM sk),
+ls AS (SELECT measure, lang, cell, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY measure, lang) AS total FROM sk GROUP BY measure, lang, cell),
+cs AS (SELECT measure, cell, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY measure) AS total FROM sk GROUP BY measure, cell),
+tl AS (SELECT DISTINCT measure, lang, total FROM ls),
+tc AS (SELECT DISTINCT measure, total FROM cs),
+ev AS (SELECT measure, lang, source, cell, n AS own, 0 AS ml, 0 AS mc FROM sk
+       UNION ALL SELECT gr.measure, gr.lang, gr.source, cell, 0, n, 0 FROM gr JOIN ls ON gr.measure = ls.measure AND gr.lang IS NOT DISTINCT FROM ls.lang
+       UNION ALL SELECT gr.measure, gr.lang, gr.source, cell, 0, 0, n FROM gr JOIN cs ON gr.measure = cs.measure),
+me AS (SELECT ev.measure, ev.lang, ev.source, cell,
+         sum(own)::HUGEINT * any_value(tl.total)::HUGEINT * any_value(tc.total)::HUGEINT + {PRIOR} * sum(ml)::HUGEINT * any_value(tc.total)::HUGEINT + {PRIOR} * sum(mc)::HUGEINT * any_value(tl.total)::HUGEINT AS weight
+       FROM ev JOIN tl ON tl.measure = ev.measure AND tl.lang IS NOT DISTINCT FROM ev.lang JOIN tc ON tc.measure = ev.measure GROUP BY ev.measure, ev.lang, ev.source, cell),
+cu AS (SELECT *, sum(weight) OVER (PARTITION BY measure, lang, source ORDER BY cell) AS seen, sum(weight) OVER (PARTITION BY measure, lang, source) AS total,
+       {_by_level(lambda x: x[0])} AS tail FROM me),
+q AS (SELECT measure, lang, source, min(cell) FILTER (100 * seen >= tail * total) AS tail, min(cell) FILTER (100 * seen >= 50 * total) AS mid,
+      min(cell) FILTER (100 * seen >= (100 - tail) * total) AS foot FROM cu GROUP BY measure, lang, source),
+g AS (SELECT measure, lang, source, tail + ({_by_level(lambda x: x[1])}) * (tail - mid) // 2 AS high, foot - ({_by_level(lambda x: x[1])}) * (mid - foot) // 2 AS low FROM q)
 SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed,
-  NOT m.base_failed AND NOT coalesce({" OR ".join(f"({x} > {x}_f.high" + (f" OR {x} < {x}_f.low" if low else "") + ")" for x, (_, _, low) in MEASURES.items())}, false) AS kept
+  NOT m.base_failed AND NOT coalesce({" OR ".join(f"({_CELL.format(x)} > {x}_f.high" + (f" OR {_CELL.format(x)} < {x}_f.low" if LEVELS[level][2] else "") + ")" for x, (_, level) in MEASURES.items())}, false) AS kept
 FROM m {" ".join(f"LEFT JOIN g {x}_f ON {x}_f.measure = '{x}' AND {x}_f.lang IS NOT DISTINCT FROM m.lang AND {x}_f.source IS NOT DISTINCT FROM m.source" for x in MEASURES)}
 """
 
 
 def op8_quality_rules(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return score(docs, ["doc_id", "lang", "source"]).select("doc_id", *BASE, "kept")
+    return score(docs, ["doc_id"]).select("doc_id", *BASE, "kept")

@@ -333,6 +333,46 @@ def test_quality_rejects_what_stands_out_in_its_group(spark):
     assert all(kept[k] for k in range(300)) and not kept[900]
 
 
+def quality_kept(spark, rows):
+    return {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+
+def test_every_measure_rejects_by_itself(spark):
+    """Documents that pass the base rules and stand out in one measure only."""
+    rnd = random.Random(8)
+    word = lambda n=5: "".join(rnd.choice("abcdefghijklmnop") for _ in range(max(1, n + rnd.randint(-1, 1))))
+    prose = lambda n, size=5: [word(size) for _ in range(n)]
+    rows = [(k, " ".join(prose(rnd.randint(80, 120))), "en", "s") for k in range(400)]
+    repeated = prose(90)
+    long = [w for line in (prose(3) for _ in range(30)) for w in (*line, "\n")]
+    rows += [
+        (1000, " ".join(prose(100)) + " #$ %& ** || <> ## $$ %% && ** |", "en", "s"),
+        (1001, " ".join(repeated + prose(6) + repeated[:7]), "en", "s"),  # 14 of 103 words
+        (1002, " ".join([*long, "a b\na b\na b\na b"]), "en", "s"),  # short lines, so no five words in a row come again often
+        (1003, " ".join(prose(100, 14)), "en", "s"),
+        (1004, " ".join(w[0] for w in prose(100, 2)), "en", "s"),
+    ]
+    got = quality_kept(spark, rows)
+    assert sum(got[k].kept for k in range(400)) >= 396
+    names = {1000: "symbol_permille", 1001: "repeat_permille", 1002: "dup_line_permille", 1003: "word_len_percent", 1004: "word_len_percent"}
+    for k, m in names.items():
+        assert not got[k].base_failed and not got[k].kept and got[k][m] != got[0][m], (k, got[k])
+
+
+def test_groups_have_their_own_thresholds(spark):
+    rnd = random.Random(9)
+    line = lambda n, symbols: " ".join(["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n)] + ["#" * symbols])
+    rows = [(k, line(100, 0), "en", "prose") for k in range(500)] + [(1000 + k, line(100, rnd.randint(20, 60)), "en", "code") for k in range(500)]
+    rows += [(5000, line(100, 40), "en", "prose"), (5001, line(100, 40), "en", "code"), (5002, line(100, 40), "en", "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    fences = {r._source: r for r in quality.thresholds(quality.sketch(quality.measure(df))).collect()}
+    assert fences["prose"].symbol_permille_high < fences["code"].symbol_permille_high
+    assert fences["rare"].symbol_permille_high > fences["prose"].symbol_permille_high  # as its language, not as prose
+    got = quality_kept(spark, rows)
+    assert not got[5000].kept and got[5001].kept and got[5002].kept
+    assert all(got[k].kept for k in range(500)) and all(got[1000 + k].kept for k in range(500))
+
+
 def test_quality_oracle(spark):
     import duckdb
 
