@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-PRIOR, MAX_BROADCAST_GROUPS = 100, 100_000
+PRIOR, MAX_BROADCAST_GROUPS = 25, 100_000
 #: measure: (SQL of an integer, its level)
 MEASURES = {
     "symbol_permille": ("greatest(n_symbols - CAST(ceil(2 * sqrt(n_symbols)) AS BIGINT), 0) * 1000 div greatest(word_chars, 1)", "bulk"),
