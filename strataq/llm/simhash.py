@@ -40,7 +40,7 @@ from .bpe import text_batches
 from .components import attach, components
 from .scratch import materialize, ship
 
-SHINGLE, MOST_BITS, BLOCK = 4, 4, 4096
+SHINGLE, MOST_BITS, BLOCK, LEAST_HOT, HOT = 4, 4, 4096, 1000, 10
 #: (parts of 64 bits, parts that two fingerprints within four bits have in common)
 LEVELS = ((6, 2), (8, 4))
 #: (low bit, width) of the segments
@@ -211,18 +211,25 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
+    spark = docs.sparkSession
     rows = materialize(with_fingerprints(docs.select(F.col("doc_id").cast("long"), "text")), "fingerprints")
-    return rows.join(component_of(rows), "fp").select("doc_id", "fp", "component_id")
+    of = materialize(component_of(rows), "component-ids")
+    # fingerprints of very many rows (there can't be more than HOT for each partition) go to the rows, the others meet them
+    most = max(LEAST_HOT, rows.count() // (HOT * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(of.filter(F.col("n") > most).drop("n"))
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(of.filter(F.col("n") <= most).drop("n"), "fp")
+    return rows.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def component_of(rows: DataFrame) -> DataFrame:
-    """(fp, component_id): one row for each distinct fingerprint. Only fingerprints that have links meet by component."""
-    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
+    """(fp, component_id, n): one row for each distinct fingerprint, n its rows. Only fingerprints that have links meet by
+    component."""
+    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fps")
     of = components(links(first)).withColumnRenamed("node", "fp")
     of = materialize(of.join(first, "fp"), "fp-components")
     least = materialize(of.groupBy("component").agg(F.min("first_id").alias("component_id")), "least-ids")
     linked = attach(of.select("fp", "component"), least, "component").select("fp", F.col("component_id").alias("_id"))
-    return first.join(linked, "fp", "left").select("fp", F.coalesce("_id", "first_id").alias("component_id"))
+    return first.join(linked, "fp", "left").select("fp", F.coalesce("_id", "first_id").alias("component_id"), "n")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
