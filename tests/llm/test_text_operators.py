@@ -124,6 +124,86 @@ def test_redaction(spark):
     assert out[2].text is None and out[2].n_chars is None and out[3].text == "clean"
 
 
+def test_redaction_of_many_overlapping_spans(spark):
+    rnd = random.Random(6)
+    bits = ["joe@x.org ", "10.1.2.3 ", "4111111111111111 ", "+1 (555) 123-4567 ", "+4111 1111 1111 1111 ", "word ", "é\U0001f600 "]
+    rows = [(k, "".join(rnd.choice(bits) for _ in range(rnd.choice([3, 63, 64, 65, 300])))) for k in range(40)]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == plainly_redacted(text) for k, text in rows)
+
+
+def plainly_redacted(text):
+    out, at = [], 0
+    for a, _, b, kind in sorted(plain_pii(text)):
+        if a >= at:
+            out += [text[at:a], f"<{kind}>"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def slow_contexts(texts):
+    """{doc: ctx spans} by the module's definition, over exact dictionaries."""
+    token = re.compile(r"(?<![A-Za-z0-9-])(?=[A-Za-z-]*[0-9])[A-Za-z0-9-]{6,}(?![A-Za-z0-9-])(?!@)")
+    found = {}
+    for d, t in texts.items():
+        rows = []
+        base = [(a, b) for a, _, b, _ in plain_pii(t)]
+        for kind, (pattern, ok) in {**PII, "ctx": (token.pattern, lambda m: len(digits(m)) >= 4)}.items():
+            at, k = 0, 0
+            for m in re.finditer(pattern, t):
+                words = (["<" + kind + ">"] if k else []) + re.findall(r"[^\x20\x09-\x0D]+", t[at : m.start()])
+                at, k = m.end(), k + 1
+                if ok(m.group()) and len(words) >= 2 and not (kind == "ctx" and any(a < m.end() and m.start() < b for a, b in base)):
+                    rows.append((m.start(), m.end(), kind != "ctx", m.group().lower(), re.sub("[0-9]", "0", " ".join(words[-2:]).lower())))
+        found[d] = rows
+    score, seeds = {}, {}
+    for rows in found.values():
+        for _, _, seed, inst, ctx in rows:
+            seeds[ctx, inst] = seeds.get((ctx, inst), False) or seed
+    graph = {}
+    for (ctx, inst), seed in seeds.items():
+        graph.setdefault(ctx, {})[inst] = seed
+    graph = {c: x for c, x in graph.items() if len(x) >= pii.SUPPORT}
+    score = {(c, i): float(seed) for c, x in graph.items() for i, seed in x.items()}
+    for _ in range(pii.ROUNDS):
+        mean = {c: sum(score[c, i] for i in x) / len(x) for c, x in graph.items() if sum(score[c, i] >= pii.MIN_SCORE for i in x) >= pii.SUPPORT}
+        best = {}
+        for c, m in mean.items():
+            for i in graph[c]:
+                best[i] = max(best.get(i, 0), m)
+        score = {(c, i): 1.0 if graph[c][i] else best.get(i, 0.0) for c, i in score}
+    good = {c for c, m in mean.items() if m >= pii.MIN_SCORE}
+    return {d: sorted((a, b) for a, b, seed, _, ctx in rows if not seed and ctx in good) for d, rows in found.items()}
+
+
+@pytest.mark.parametrize("inline", [10_000, 0])
+def test_contexts_against_brute_force(spark, monkeypatch, texts, inline):
+    monkeypatch.setattr(pii, "MAX_INLINE", inline)
+    rnd = random.Random(7)
+    made = dict(texts) if inline else {}
+    cards = ["4111111111111111", "4012888888881881", "5555555555554444", "5105105105105100", "378282246310005", "371449635398431", "6011111111111117"]
+    ids = [f"{rnd.choice('abc')}{rnd.randrange(10**6):06d}-{'x' * rnd.randint(0, 40)}" for _ in range(40)]
+    for k in range(160):
+        place = rnd.choice(["card number", "member badge", "ticket no", "reach me", "spare part"])
+        pool = {"card number": cards + ids[:2], "member badge": cards[:6] + ids[:8], "ticket no": ids[2:14], "reach me": [f"+49301234{j:04d}" for j in range(8)] + ids[:1], "spare part": ids[20:]}[place]
+        made[10**6 + k] = " ".join(f"so the {place} {rnd.choice(pool)}" + rnd.choice([",", "", " and"]) for _ in range(rnd.randint(1, 4)))
+    want = slow_contexts(made)
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.more) for r in pii.find(spark.createDataFrame(list(made.items()), "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    rnd = random.Random(1)
+    long = " ".join(rnd.choice([f"{rnd.randrange(10**7)}", "a@b.cd", "10.0.0.1", f"id-{rnd.randrange(10**6)}", "word"]) for _ in range(120_000))
+    df = spark.createDataFrame([(1, long), (2, "x" * 1_000_000 + "1234"), (3, "12-" * 300_000)], "doc_id long, text string")
+    begun = time.monotonic()
+    got = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert time.monotonic() - begun < 60 and len(long) > 900_000
+    assert got[1].text == plainly_redacted(long) and got[2].text == "x" * 1_000_000 + "1234"
+
+
 # word pieces
 
 
