@@ -1,58 +1,77 @@
 """Benchmark decontamination by CGK embedding (operator 3).
 
-A document leaks an item if some stretch of it is within MAX_RATE * length edits of the item (lower-cased A-Z, white
-space as single spaces; NUL bytes count as spaces). Items over PIECE bytes are cut into even pieces. Of a leaked item one
-piece at least is within its own share of the edits, so pieces only propose where the item lies (step 5).
-
-1. Windows: item-sized, laid where the text shares a substring of SEED bytes with an item, aligned to that substring's
-   place in the item. (Up to length / SEED - 1 edits always leave such a substring; beyond that only edits spread evenly
-   could hide them all.)
-2. The Chakraborty-Goldenberg-Koucky random walk embeds windows and items: one shared random bit for each step and byte
-   decides whether to advance, so that few edits stay a small Hamming distance.
-3. Bit-sampling LSH over the embeddings, repeated: TABLES samples of SAMPLED positions. The number of tables is found by
-   embedding edited copies of the items at MAX_RATE until the recall reaches RECALL.
-4. Windows and items that share a key are verified by exact edit distance (bit-parallel, substring of the text).
-5. Where a piece of a longer item is verified, so is the whole item, over the stretch of text that its place suggests.
-
-Items travel to the tasks, in blocks of at most ITEMS_PER_PASS items, one pass over the documents for each block, so the
-amount sent has a fixed bound. Texts are read once per pass and nothing is shuffled.
-
-Defined results: null texts and items are empty and never match; items under MIN_ITEM bytes are too short to tell and
-are ignored; repeated ids and rows keep their rows, repeated items report each of their ids; extra columns are ignored
-(`leaks`) or kept (`remove_leaked`).
+A document leaks an item if some stretch of it is within MAX_RATE * length edits of the item, whatever the item's length
+(lower-cased A-Z, white space as single spaces; NUL bytes count as spaces).
+
+1. The Chakraborty-Goldenberg-Koucky random walk embeds the text's windows, one for every STRIDE bytes, and the item's, one
+   for every byte: one shared random bit for each step and byte decides whether to advance, so that few edits stay a small
+   Hamming distance. A walk has WALK steps, over half as many bytes: an item of any length is met by several windows.
+2. Bit-sampling LSH over the embeddings, repeated: each table samples SAMPLED of SPAN neighbouring steps. The number of tables
+   is found by running this search on copies of the items with edits at MAX_RATE, until the recall reaches RECALL; a warning
+   says so if MOST_TABLES don't reach it. Of DRAWS random draws the one that needs the fewest tables is taken.
+3. A key that window and item share says where in the text the item may lie. There the whole item is verified by exact edit
+   distance (bit-parallel, substring of the text).
+
+Items of less than WALK bytes are too short for walks; cut into one part more than they may have edits, one part at least
+is intact, so an Aho-Corasick automaton over the parts proposes every place, and the verification is the same.
+
+Only the items' texts travel to the tasks, in blocks of about BYTES_PER_PASS bytes, one pass over the documents for each
+block; a task's worker builds the block's index once. Texts are read once per pass and nothing is shuffled.
+
+Defined results: null texts and items are empty, and an empty item never matches; a text of any length is searched whole; a
+passage that many items share is verified against each of them; null ids and repeated documents keep their rows; of repeated
+items each distinct id reports once; extra columns are ignored (`leaks`) or kept (`remove_leaked`); an empty table of
+documents gives an empty result, and one of items leaves all documents.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import random
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .scratch import ship
+from .components import attach
+from .scratch import materialize, ship
 
-MAX_RATE, RECALL, SAMPLED, MOST_TABLES = 0.2, 0.98, 2, 256
-SEED, MIN_ITEM, PIECE, ITEMS_PER_PASS = 12, 32, 512, 10_000
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+MAX_RATE, RECALL, BYTES_PER_PASS = 0.2, 0.95, 500_000
+WALK, STRIDE, SAMPLED, SPAN, MOST_TABLES, TRIALS, DRAWS = 64, 8, 24, 40, 64, 200, 4
+FEW = 200  # pairs that are compared one by one rather than side by side
+MIX, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
+TEXT_END, ITEM_END = b"\0" * WALK, b"\xff" * WALK  # neither is in a normal text, so ends of texts and of items don't meet
 
 
 def normal(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().replace(b"\0", b" ").split())
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the SEED (12) bytes from each position of a byte array."""
-    if len(data) < SEED:
-        return np.empty(0, np.uint64)
-    two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << np.uint64(8)
-    four = two[:-2] | two[2:] << np.uint64(16)
-    eight = four[:-4] | four[4:] << np.uint64(32)
-    with np.errstate(over="ignore"):
-        mixed = (eight[: len(four) - 8] * np.uint64(MULTIPLIERS[0])) ^ (four[8:] * np.uint64(MULTIPLIERS[1]))
-        return (mixed ^ mixed >> np.uint64(29)) * np.uint64(MULTIPLIERS[0])
+def substring_distance(pattern: bytes, text: bytes) -> int:
+    """Least edit distance of pattern to any substring of text: bit-parallel over one long integer."""
+    match: dict[int, int] = {}
+    for i, c in enumerate(pattern):
+        match[c] = match.get(c, 0) | 1 << i
+    full, top = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
+    plus, minus, best = full, 0, len(pattern)
+    score = best
+    for c in text:
+        eq = match.get(c, 0)
+        across = (((eq & plus) + plus) ^ plus) | eq
+        up, down = minus | full & ~(across | plus), plus & across
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+            best = min(best, score)
+        eq |= minus
+        up, down = up << 1 & full, down << 1 & full
+        plus, minus = down | full & ~(eq | up), up & eq
+    return best
 
 
 def substring_distances(patterns: list[bytes], which: np.ndarray, texts: list[bytes]) -> np.ndarray:
@@ -64,6 +83,9 @@ def substring_distances(patterns: list[bytes], which: np.ndarray, texts: list[by
     blocks = -(-np.array([len(patterns[p]) for p in which], np.int64) // 64)
     for n_blocks in np.unique(blocks).tolist():
         rows = np.flatnonzero(blocks == n_blocks)
+        if len(rows) < FEW:
+            out[rows] = [substring_distance(patterns[which[r]], texts[r]) for r in rows.tolist()]
+            continue
         used, mine = np.unique(which[rows], return_inverse=True)
         match = np.zeros((n_blocks, len(used), 256), np.uint64)
         for k, p in enumerate(used.tolist()):
@@ -99,163 +121,185 @@ def substring_distances(patterns: list[bytes], which: np.ndarray, texts: list[by
     return out
 
 
-def even_cuts(size: int) -> list[tuple[int, int]]:
-    """(start, end) of the fewest pieces of at most PIECE bytes, whose sizes differ by one at most."""
-    n = -(-size // PIECE)
-    return [(k * size // n, (k + 1) * size // n) for k in range(n)]
-
-
-class Matcher:
-    """find(texts) -> (row, item number, distance) of each leak."""
+class Search:
+    """The walks and tables: shared random bits and places, and how many tables are needed."""
 
     def __init__(self, items: list[bytes], rate: float = MAX_RATE, recall: float = RECALL, seed: int = 7):
-        self.rate = rate
-        self.items = items
-        cut = [(k, a, x[a:b]) for k, x in enumerate(items) if len(x) >= MIN_ITEM for a, b in even_cuts(len(x))]
-        self.item = np.array([k for k, *_ in cut], np.int64)
-        self.offset = np.array([a for _, a, _ in cut], np.int64)
-        self.pieces = [x for *_, x in cut]
-        self.sizes = np.array(list(map(len, self.pieces)), np.int64)
+        self.items, self.rate = items, rate
+        # of some draws the one that needs the fewest tables
+        drawn = [self._draw(recall, seed + k) for k in range(DRAWS if any(len(x) >= WALK for x in items) else 1)]
+        self.steps, self.masks, reached = min(drawn, key=lambda x: (x[2] < recall, len(x[1])))
+        if reached < recall:
+            warnings.warn(f"{MOST_TABLES} tables reach a recall of {reached:.3f}, not {recall}", stacklevel=2)
+
+    def _draw(self, recall: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Random bits of the walk, as many tables as are needed, each a mask over the walk's bytes, and the recall."""
         rng = np.random.default_rng(seed)
-        self.most = int(self.sizes.max(initial=1))
-        self.steps = rng.random((2 * self.most, 256)) < 0.5
-        hashes = [gram_hashes(np.frombuffer(x, np.uint8)) for x in self.pieces]
-        counts = np.array(list(map(len, hashes)), np.int64)
-        flat = np.concatenate([np.empty(0, np.uint64), *hashes])
-        order = np.argsort(flat, kind="stable")
-        self.gram = flat[order]
-        self.gram_piece = np.repeat(np.arange(len(counts)), counts)[order]
-        self.gram_at = (np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts))[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(flat >> np.uint64(42)).astype(np.int64)] = True
-        if self.pieces:
-            self.spots = rng.random((MOST_TABLES, SAMPLED))
-            self.spots = self.spots[: self._tables(recall, seed)]
-            keys = self._keys(self._embed(self.pieces), self.sizes)
-            owner = np.repeat(np.arange(len(self.pieces)), keys.shape[1])
-            order = np.argsort(keys.ravel(), kind="stable")
-            self.key, self.key_piece = keys.ravel()[order], owner[order]
-
-    def _embed(self, windows: list[bytes]) -> np.ndarray:
-        """The walk over each window: rows of 2 * longest bytes, zero behind the window's end."""
-        x = np.zeros((len(windows), self.most + 1), np.uint8)
-        for k, w in enumerate(windows):
-            x[k, : len(w)] = np.frombuffer(w, np.uint8)
-        rows, at = np.arange(len(windows)), np.zeros(len(windows), np.int64)
-        out = np.empty((2 * self.most, len(windows)), np.uint8)
-        for j in range(2 * self.most):
-            out[j] = c = x[rows, at]
-            at = np.minimum(at + self.steps[j, c], self.most)
-        return out.T
-
-    def _keys(self, embedded: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """One key for each window and table, from SAMPLED places within the walk over a window of that size."""
-        places = (self.spots[None] * (2 * sizes)[:, None, None]).astype(np.int64)
-        got = embedded[np.arange(len(embedded))[:, None, None], places].astype(np.uint64)
-        key = sizes.astype(np.uint64)[:, None] * np.uint64(MOST_TABLES) + np.arange(len(self.spots), dtype=np.uint64)[None]
-        for k in range(SAMPLED):
-            key = key * np.uint64(256) + got[:, :, k]
-        return key
-
-    def _tables(self, recall: float, seed: int, trials: int = 200) -> int:
-        """How many tables find edited copies of the items (at the full rate) with the wanted recall."""
-        rnd = random.Random(seed)
-        chosen = [rnd.randrange(len(self.pieces)) for _ in range(trials)]
-        edited = []
-        for k in chosen:
-            x = bytearray(self.pieces[k])
-            for _ in range(int(self.rate * len(x))):
-                at, kind = rnd.randrange(len(x)), rnd.randrange(3)
+        self.steps, masks = (rng.random((WALK, 256)) < 0.5).astype(np.int64), np.zeros((MOST_TABLES, WALK), np.uint8)
+        for row in masks:
+            row[rng.integers(0, WALK - SPAN + 1) + rng.choice(SPAN, SAMPLED, replace=False)] = 255
+        self.masks = masks.view(np.uint64)
+        n, reached = self._tables(recall, seed)
+        return self.steps, self.masks[:n], reached
+
+    @functools.cached_property
+    def name(self) -> str:
+        """Tells one block's index from another's in a worker."""
+        return hashlib.sha256(repr((self.items, self.rate, self.steps.tobytes(), self.masks.tobytes())).encode()).hexdigest()
+
+    def most(self, item: int) -> int:
+        """The edits that an item may have."""
+        return int(self.rate * len(self.items[item]))
+
+    def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(table, window) keys of the walks from each start; data has WALK bytes behind the last start."""
+        at, walk, step = starts.copy(), np.empty((WALK, len(starts)), np.uint8), np.empty(len(starts), np.int64)
+        for bits, row in zip(self.steps, walk):
+            np.take(data, at, out=row)
+            at += np.take(bits, row, out=step)
+        words = np.ascontiguousarray(walk.T).view(np.uint64).T.copy()
+        out, part = np.empty((len(self.masks), len(starts)), np.uint64), np.empty(len(starts), np.uint64)
+        with np.errstate(over="ignore"):
+            for t, (mask, key) in enumerate(zip(self.masks, out)):
+                key[:] = t + 1
+                for word, places in zip(words, mask):
+                    if places:
+                        np.bitwise_xor(key, np.bitwise_and(word, places, out=part), out=key)
+                        np.multiply(key, MIX, out=key)
+                        np.bitwise_xor(key, np.right_shift(key, SHIFT, out=part), out=key)
+        return out
+
+    def _tables(self, recall: float, seed: int) -> tuple[int, float]:
+        """How many tables find copies of the items, edited at the full rate, with the wanted recall, and what they reach."""
+        long, rnd = [x for x in self.items if len(x) >= WALK], random.Random(seed)
+        if not long:
+            return 1, 1.0
+        found = np.zeros((TRIALS, len(self.masks)), bool)
+        for k in range(TRIALS):
+            item = rnd.choice(long)
+            text = bytearray(item)
+            for _ in range(int(self.rate * len(item))):
+                at, kind = rnd.randrange(len(text)), rnd.randrange(3)
                 if kind == 0:
-                    x[at] = rnd.choice(self.pieces[k])
+                    text[at] = rnd.choice(item)
                 elif kind == 1:
-                    del x[at]
-                else:
-                    x.insert(at, rnd.choice(self.pieces[k]))
-            edited.append(bytes(x[: len(self.pieces[k])]))
-        sizes = self.sizes[chosen]
-        same = self._keys(self._embed(edited), sizes) == self._keys(self._embed([self.pieces[k] for k in chosen]), sizes)
-        found = np.logical_or.accumulate(same, axis=1).mean(0)
-        enough = np.flatnonzero(found >= recall)
-        return int(enough[0]) + 1 if len(enough) else MOST_TABLES
-
-    def windows(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces, starts) of the windows that shared substrings suggest, one for each piece and eighth byte."""
-        hashes = gram_hashes(data)
-        at = np.flatnonzero(self.seen[(hashes >> np.uint64(42)).astype(np.int64)])
-        low = np.searchsorted(self.gram, hashes[at], "left")
-        n = np.searchsorted(self.gram, hashes[at], "right") - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        piece, start = self.gram_piece[pick], np.repeat(at, n) - self.gram_at[pick]
-        _, first = np.unique(np.stack([piece, start >> 3]), axis=1, return_index=True)
-        return piece[first], start[first]
-
-    def _whole(self, proposed: dict[tuple[int, int], list[tuple[int, int]]], docs: list[bytes]):
-        """((row, item), distance) of the items leaked within the proposed stretches; stretches that meet are joined."""
-        pairs, stretch = [], []
-        for pair, spans in proposed.items():
-            joined: list[list[int]] = []
-            for a, b in sorted(spans):
-                if joined and a <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], b)
+                    del text[at]
                 else:
-                    joined.append([a, b])
-            pairs += [pair] * len(joined)
-            stretch += [docs[pair[0]][a:b] for a, b in joined]
-        for a in range(0, len(pairs), 500):
-            which = np.array([item for _, item in pairs[a : a + 500]], np.int64)
-            for pair, d in zip(pairs[a : a + 500], substring_distances(self.items, which, stretch[a : a + 500]).tolist()):
-                if d <= int(self.rate * len(self.items[pair[1]])):
-                    yield pair, d
+                    text.insert(at, rnd.choice(item))
+            text = bytes(text)
+            # the text lies anywhere between windows, with other bytes behind it
+            there = np.arange(rnd.randrange(STRIDE), len(text), STRIDE)
+            left = self.keys(np.frombuffer(text + rnd.randbytes(WALK + 1), np.uint8), there)
+            here = np.arange(len(item))
+            right = self.keys(np.frombuffer(item + ITEM_END + b"\xff", np.uint8), here)
+            near = np.abs(there[:, None] - here[None, :]) <= int(self.rate * len(item))
+            found[k] = [(a[:, None] == b[None, :])[near].any() for a, b in zip(left, right)]
+        reached = np.logical_or.accumulate(found, axis=1).mean(0)
+        n = int(np.argmax(reached >= recall)) + 1 if reached[-1] >= recall else MOST_TABLES
+        return n, float(reached[n - 1])
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The distinct rows in order."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.append(True, (rows[1:] != rows[:-1]).any(1))] if len(rows) else rows
+
+
+class Matcher:
+    """find(texts) -> (row, item number, distance) of each leak."""
+
+    def __init__(self, items: Search | list[bytes]):
+        import ahocorasick
+
+        self.search = search = items if isinstance(items, Search) else Search(items)
+        items = search.items
+        long = [k for k, x in enumerate(items) if len(x) >= WALK]
+        flat = np.frombuffer(b"".join(items[k] + ITEM_END for k in long) + b"\xff", np.uint8)
+        sizes = np.array([len(items[k]) for k in long], np.int64)
+        self.owner = np.repeat(np.array(long, np.int64), sizes)
+        self.offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys = search.keys(flat, np.repeat(np.cumsum(sizes + WALK) - sizes - WALK, sizes) + self.offset)
+        order = np.argsort(keys, axis=None, kind="stable")
+        self.key, self.where = keys.ravel()[order], (order % max(1, keys.shape[1])).astype(np.int32)
+        self.seen = np.zeros(1 << 24, bool)
+        self.seen[(self.key >> np.uint64(40)).astype(np.int64)] = True
+        # short items: one part more than edits
+        parts: dict[str, list[tuple[int, int]]] = {}
+        for k, x in enumerate(items):
+            if 0 < len(x) < WALK:
+                n = search.most(k) + 1
+                cuts = [len(x) * j // n for j in range(n + 1)]
+                for a, b in zip(cuts, cuts[1:]):
+                    parts.setdefault(x[a:b].decode("latin-1"), []).append((k, a))
+        self.parts = ahocorasick.Automaton() if parts else None
+        for part, places in parts.items():
+            self.parts.add_word(part, (len(part), places))
+        if parts:
+            self.parts.make_automaton()
+
+    def places(self, docs: list[bytes], at_once: int = 12_000) -> np.ndarray:
+        """Rows of (text, item, place in the text where the item would begin): every shared key's."""
+        sizes = np.array(list(map(len, docs)), np.int64)
+        data = np.frombuffer(TEXT_END.join(docs) + TEXT_END + b"\0", np.uint8)
+        first = np.cumsum(sizes + WALK) - sizes - WALK
+        out = [np.empty((0, 3), np.int64)]
+        for a in range(0, (len(data) - WALK - 1) if len(self.key) else 0, at_once * STRIDE):
+            starts = np.arange(a, min(a + at_once * STRIDE, len(data) - WALK - 1), STRIDE)
+            keys = self.search.keys(data, starts).ravel()
+            hit = np.flatnonzero(self.seen[(keys >> np.uint64(40)).astype(np.int64)])
+            low = np.searchsorted(self.key, keys[hit], "left")
+            n = np.searchsorted(self.key, keys[hit], "right") - low
+            pick = self.where[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            at = np.repeat(starts[hit % len(starts)], n)
+            text = np.searchsorted(first, at, "right") - 1
+            out.append(_distinct(np.stack([text, self.owner[pick], at - first[text] - self.offset[pick]], axis=1)))
+        if self.parts is not None:
+            more = [(text, k, last - size + 1 - a) for text, doc in enumerate(docs) for last, (size, places) in self.parts.iter(doc.decode("latin-1")) for k, a in places]
+            out.append(np.array(more, np.int64).reshape(-1, 3))
+        return _distinct(np.concatenate(out))
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
-        if not self.pieces:
-            return []
+        docs = [normal(t) for t in texts]
+        text, item, at = self.places(docs).T
+        size = np.array(list(map(len, self.search.items)), np.int64)[item]
+        most = (self.search.rate * size).astype(np.int64)
+        begin, end = np.maximum(at - most, 0), np.minimum(at + size + most, np.array(list(map(len, docs)), np.int64)[text])
+        # places of one text and item whose stretches meet are one stretch
+        apart = np.ones(len(text), bool)
+        apart[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
+        cuts = np.flatnonzero(apart)
+        lasts = np.append(cuts[1:], len(text)) - 1 if len(text) else cuts
         out: dict[tuple[int, int], int] = {}
-        proposed: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        rows, pieces, starts, docs = [], [], [], [normal(t) for t in texts]
-        for row, doc in enumerate(docs):
-            piece, start = self.windows(np.frombuffer(doc, np.uint8))
-            rows += [row] * len(piece)
-            pieces += piece.tolist()
-            starts += start.tolist()
-        for a in range(0, len(rows), 8000):
-            part = range(a, min(a + 8000, len(rows)))
-            cut = [docs[rows[k]][max(starts[k], 0) : max(starts[k], 0) + int(self.sizes[pieces[k]])] for k in part]
-            keys = self._keys(self._embed(cut), self.sizes[[pieces[k] for k in part]])
-            low = np.searchsorted(self.key, keys.ravel(), "left")
-            n = np.searchsorted(self.key, keys.ravel(), "right") - low
-            window = np.repeat(np.arange(len(cut)), keys.shape[1])
-            pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pairs = np.unique(np.stack([np.repeat(window, n), self.key_piece[pick]]), axis=1)
-            stretch = []
-            for w, p in pairs.T.tolist():
-                most = int(self.rate * self.sizes[p])
-                at = max(0, starts[a + w])
-                stretch.append(docs[rows[a + w]][max(0, starts[a + w] - most) : at + int(self.sizes[p]) + most])
-            for (w, p), d in zip(pairs.T.tolist(), substring_distances(self.pieces, pairs[1], stretch).tolist()):
-                pair = (rows[a + w], int(self.item[p]))
-                if d > int(self.rate * self.sizes[p]):
-                    continue
-                size = len(self.items[pair[1]])
-                if size > self.sizes[p]:
-                    most, at = int(self.rate * size) + 8, starts[a + w] - int(self.offset[p])  # windows are laid to eight bytes
-                    proposed.setdefault(pair, []).append((max(0, at - most), at + size + most))
-                elif d < out.get(pair, self.most):
-                    out[pair] = d
-        for pair, d in self._whole(proposed, docs):
-            out[pair] = min(d, out.get(pair, d))
-        return [(row, item, d) for (row, item), d in sorted(out.items())]
-
-
-def item_blocks(items: DataFrame, per_pass: int = ITEMS_PER_PASS):
-    """The items as lists of (item_id, text), each of bounded length."""
-    items = items.select(F.col("item_id").cast("long"), F.col("text").alias("item_text"))
-    blocks = max(1, math.ceil(items.count() / per_pass))
+        order = np.argsort(size[cuts], kind="stable")  # pairs of one size are compared side by side
+        cuts, lasts = cuts[order], lasts[order]
+        for k in range(0, len(cuts), 5000):
+            some, ends = cuts[k : k + 5000], end[lasts[k : k + 5000]]
+            stretch = [docs[t][a:b] for t, a, b in zip(text[some].tolist(), begin[some].tolist(), ends.tolist())]
+            for t, i, d in zip(text[some].tolist(), item[some].tolist(), substring_distances(self.search.items, item[some], stretch).tolist()):
+                if d <= self.search.most(i):
+                    out[t, i] = min(d, out.get((t, i), d))
+        return [(t, i, d) for (t, i), d in sorted(out.items())]
+
+
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(search: Search) -> Matcher:
+    """The worker's index of a block; one block's at a time."""
+    if search.name not in _matchers:
+        _matchers.clear()
+        _matchers[search.name] = Matcher(search)
+    return _matchers[search.name]
+
+
+def searches(items: DataFrame, per_pass: int = BYTES_PER_PASS):
+    """(Search, keys of its items): the distinct texts of items in blocks of bounded size."""
+    texts = materialize(items.select(F.col("text").alias("item_text")).filter("item_text <> ''").distinct(), "items")
+    blocks = max(1, math.ceil((texts.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) / per_pass))
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield [(r.item_id, r.item_text) for r in block.collect()]
+        block = texts.filter(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == k) if blocks > 1 else texts
+        rows = sorted((normal(r.item_text), r.item_key) for r in block.select("item_text", F.sha2("item_text", 256).alias("item_key")).collect())
+        yield Search([x for x, _ in rows]), [key for _, key in rows]
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -263,34 +307,33 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
-    for block in item_blocks(items):
-        matcher, ids = Matcher([normal(t) for _, t in block]), [i for i, _ in block]
+    for search, keys in searches(items):
 
-        def found(batches, matcher=matcher, ids=ids):
+        def found(batches, search=search, keys=keys):
             import pyarrow as pa
 
             for batch in text_batches(batches, most_bytes=8_000_000):
-                hits = matcher.find(batch.column("text").to_pylist())
+                hits = matcher_of(search).find(batch.column("text").to_pylist())
                 rows = batch.column("doc_id").take(pa.array([r for r, _, _ in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows, pa.array([ids[i] for _, i, _ in hits], pa.int64()), pa.array([d for *_, d in hits], pa.int64())], ["doc_id", "item_id", "distance"])
+                yield pa.RecordBatch.from_arrays([rows, pa.array([keys[i] for _, i, _ in hits], pa.string()), pa.array([d for *_, d in hits], pa.int64())], ["doc_id", "item_key", "distance"])
 
-        part = docs.mapInArrow(found, "doc_id long, item_id long, distance long")
+        part = docs.mapInArrow(found, "doc_id long, item_key string, distance long")
         out = part if out is None else out.unionByName(part)
-    return out
+    ids = materialize(items.select(F.col("item_id").cast("long"), F.sha2("text", 256).alias("item_key")).filter("item_key IS NOT NULL").distinct(), "item-ids")
+    return attach(out, ids, "item_key").select("doc_id", "item_id", "distance")
 
 
 def remove_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that leak an item; rows stay where they are, nothing is shuffled."""
     ship(docs.sparkSession)
-    for block in item_blocks(items):
-        matcher = Matcher([normal(t) for _, t in block])
+    for search, _ in searches(items):
 
-        def clean(batches, matcher=matcher):
+        def clean(batches, search=search):
             import pyarrow as pa
 
             for batch in text_batches(batches, most_bytes=8_000_000):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r for r, _, _ in matcher.find(batch.column("text").to_pylist())]] = False
+                keep[[r for r, _, _ in matcher_of(search).find(batch.column("text").to_pylist())]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)

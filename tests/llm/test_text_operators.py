@@ -477,9 +477,12 @@ def substring_edit_distance(p, t):
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.binary(min_size=1, max_size=150), st.binary(min_size=1, max_size=60)), min_size=1, max_size=8))
-def test_bit_parallel_distance(pairs):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_bit_parallel_distance(few, pairs):
+    decontaminate.FEW = few
     patterns, texts = [bytes(1 + x % 3 for x in p) for p, _ in pairs], [bytes(1 + x % 3 for x in t) for _, t in pairs]
     got = decontaminate.substring_distances(patterns, np.arange(len(pairs)), texts).tolist()
+    decontaminate.FEW = 200
     assert got == [substring_edit_distance(p, t) for p, t in zip(patterns, texts)]
 
 
