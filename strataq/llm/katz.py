@@ -31,6 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.partition import estimated_bytes
 from .bpe import text_batches
 from .packed import bucketed, columns_of, narrow, pack_sorted, requests, squeeze, store, swell, to_table, unpack_sorted
 from .scratch import ship
@@ -316,7 +317,8 @@ def fit_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
     """Scores of all rows of docs (doc_id, text, held boolean) by the model of those that aren't held out."""
     spark = docs.sparkSession
     ship(spark)
-    blocks = bucketed(docs.select(F.col("doc_id").cast("long"), "held", "text").mapInArrow(make_blocks, BLOCK), "katz_blocks", "block")
+    texts = docs.select(F.col("doc_id").cast("long"), "held", "text")
+    blocks = bucketed(texts.mapInArrow(make_blocks, BLOCK), "katz_blocks", "block", estimated_bytes(texts))
     # entries bound the number of buckets: a block has no more n-grams than tokens, of which there are at most bytes / 2
     rows = blocks.select(F.size("doc_ids").cast("long").alias("d"), F.octet_length("tokens").alias("b")).agg(F.sum("d"), F.sum("b")).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((rows[1] or 0) / BUCKET_KEYS) + 1)

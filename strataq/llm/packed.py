@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 
 from .scratch import fresh_path, remember_table
 
+BUCKET_BYTES, UNKNOWN, MOST_TIMES, MOST_BUCKETS = 128 << 20, 1 << 60, 16, 100_000  # the last is Spark's own limit
+
 
 def squeeze(a: np.ndarray) -> bytes:
     """An integer or float array as compressed byte planes."""
@@ -92,12 +94,18 @@ def to_table(rows: list[dict], ddl: str):
     return pa.table([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Writes df bucketed by key, so that cogrouping it by key moves none of it."""
+def bucketed(df: DataFrame, name: str, key: str, size: int = 0) -> DataFrame:
+    """Writes df bucketed by key, so that cogrouping it by key moves none of it.
+
+    Buckets grow in number with the input's estimated size, up to MOST_TIMES the shuffle partitions; a size that the optimizer
+    doesn't know (it then says a number beyond UNKNOWN) counts as none.
+    """
     spark = df.sparkSession
     table = f"strataq_{name}_{uuid.uuid4().hex}"
     remember_table(spark, table)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size < UNKNOWN:
+        n = max(n, min(MOST_BUCKETS, MOST_TIMES * n, -(-size // BUCKET_BYTES)))
     df.write.bucketBy(n, key).option("path", fresh_path(spark, name)).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
 

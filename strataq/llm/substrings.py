@@ -22,7 +22,9 @@ number of copies. An anchor found in more than HOT_BLOCKS blocks doesn't gather
 one by one to buckets by the hash of the whole window, which spreads them.
 
 Defined results: a null text is empty; null ids count as larger than any id and never erase each other; rows of one id
-never erase each other; extra columns are ignored; an empty table gives an empty result.
+never erase each other; a text of any length is one document of one block; extra columns are ignored; an empty table gives
+an empty result. Whole texts count as equal by 128-bit hashes, without a look at their bytes (for n distinct texts an error
+of about n^2 / 2^129).
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.partition import estimated_bytes
 from . import bwt
 from .bpe import text_batches
 from .packed import bucket_of, bucketed, columns_of, framed, narrow, pack_sorted, release, requests, squeeze, store, swell, to_table, unpack_sorted
@@ -42,7 +45,7 @@ LENGTH, GRAM, BLOCK_BYTES, HOT_BLOCKS, BUCKET_BYTES = 50, 24, 5_000_000, 64, 32_
 LAST = np.iinfo(np.int64).max
 BLOCK = "block long, doc_ids array<long>, sizes binary, data binary"
 REQUEST = "kind string, bucket long, block long, keys binary, counts binary"
-CHUNK = 1 << 17
+CHUNK = 1 << 15  # positions worked on at once; their numbers stay in the processor's cache
 ALONE, MINE, OTHERS = range(3)
 
 
@@ -72,33 +75,39 @@ def make_blocks(batches):
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM (16 to 32) bytes from each position."""
-    two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << np.uint64(8)
-    four = two[:-2] | two[2:] << np.uint64(16)
-    eight = four[:-4] | four[4:] << np.uint64(32)
+    # the eight bytes from each position as one number
+    eight = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
+    n = len(data) - GRAM + 1
+    x = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        n, x = len(data) - GRAM + 1, np.uint64(0)
         for at in dict.fromkeys((0, 8, max(GRAM - 16, 0), GRAM - 8)):
-            x = (x ^ eight[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
-            x = x ^ x >> np.uint64(29)
-        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ x >> np.uint64(32)
+            x ^= eight[at : at + n]
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, behind the last window, anchor's hash) of the runs of windows of data with one anchor."""
     width = length - GRAM + 1
     first, stop, hashes = [], [], []
+    places = np.arange(CHUNK + length, dtype=np.uint64)
     for a in range(0, len(data) - length + 1, CHUNK):
         part = data[a : a + CHUNK + length - 1]
         # the hash above, the place below: the least value is the leftmost of the least hashes
         grams = gram_hashes(part)
-        best = grams & ~np.uint64((1 << 18) - 1) | np.arange(len(grams), dtype=np.uint64)
+        best = grams & ~np.uint64((1 << 18) - 1)
+        best |= places[: len(grams)]
         covered = 1
         while covered < width:
             step = min(covered, width - covered)
             best = np.minimum(best[:-step], best[step:])
             covered += step
-        at = (best & np.uint64((1 << 18) - 1)).astype(np.int64)
+        best &= np.uint64((1 << 18) - 1)
+        at = best.view(np.int64)
         cuts = np.flatnonzero(np.diff(at, prepend=-1))
         first.append(cuts + a)
         stop.append(np.append(cuts[1:], len(at)) + a)
@@ -473,7 +482,8 @@ def deduplicate(docs: DataFrame, digest: bool = False, hot_blocks: int = HOT_BLO
     """RESULT rows for all rows of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
-    blocks = bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make_blocks, BLOCK), "bwt_blocks", "block")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    blocks = bucketed(docs.mapInArrow(make_blocks, BLOCK), "bwt_blocks", "block", estimated_bytes(docs))
     size = blocks.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
     answers = store(text_answers(text_requests(blocks, buckets)), "bwt_texts")
