@@ -304,17 +304,22 @@ def test_discounts():
 
 
 def test_pipeline_against_its_operators(spark, rows):
+    """Ids against brute force: Jaccard groups of five-word shingles among the kept, then the leaks; texts against the
+    redaction of what is left, through the pieces' token ids."""
+    from strataq.llm import bpe, pii
+    from test_near_dedup_stage import slow_survivors
+
     got = corpus_pipeline.run(spark, DATA).collect()
     kept = {r.doc_id for r in quality.op8_quality_rules(spark, DATA).collect() if r.kept}
-    fps = {d: slow_fingerprint(t) for d, t in rows if d in kept}
-    sets, ids = Sets(), sorted(fps)
-    values = np.array([fps[d] for d in ids], np.uint64)
-    for k, d in enumerate(ids):
-        for j in np.flatnonzero(np.bitwise_count(values[k:] ^ values[k]) <= 4):
-            sets.join(d, ids[k + j])
+    left = set(slow_survivors([(d, t) for d, t in sorted(rows) if d in kept]))
     leaked = {r.doc_id for r in queries.queries()["op3_decontamination"](spark, DATA).collect()}
-    assert {r.doc_id for r in got} == {d for d in ids if sets.find(d) == d} - leaked
+    assert {r.doc_id for r in got} == left - leaked and left & leaked
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter(F.col("doc_id").isin(sorted(left - leaked)))
+    lib = bpe.WordEncoder().lib
+    want = {r.doc_id: [*lib.encode(r.text or "", add_special_tokens=False).ids, 0] for r in pii.redact(docs).collect()}
     fill: dict = {}
     for r in got:
+        ids = np.array(want[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
-    assert max(fill.values()) <= 2048
+    assert max(fill.values()) <= 2048 and sum(fill.values()) == sum(map(len, want.values()))
