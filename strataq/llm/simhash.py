@@ -235,7 +235,8 @@ def component_of(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of near-duplicates (the one of the smallest id; among repeated rows any one).
 
-    Groups are those of jaccard.py: five-word shingles, similarity 0.8 or more. The four words and four bits bind only op6.
+    Groups are those of jaccard.py: SimHash and Golay keys over five-word shingles, similarity 0.8 or more. The four words and four
+    bits bind only op6.
     """
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
     rows = materialize(whole, "numbered")
