@@ -16,7 +16,9 @@ Items of less than WALK bytes are too short for walks; cut into one part more th
 is intact, so an Aho-Corasick automaton over the parts proposes every place, and the verification is the same.
 
 Only the items' texts travel to the tasks, in blocks of about BYTES_PER_PASS bytes, one pass over the documents for each
-block; a task's worker builds the block's index once. Texts are read once per pass and nothing is shuffled.
+block; a task's worker builds the block's index once. Texts are read once per pass and nothing is shuffled. What a worker holds
+besides the texts and the index doesn't grow with what matches: places are compared MOST_PLACES at a time, and of a key's
+places in one item only the first and the last are kept, as the stretches of those between lie within theirs.
 
 Defined results: null texts and items are empty, and an empty item never matches; a text of any length is searched whole; a
 passage that many items share is verified against each of them; null ids and repeated documents keep their rows; of repeated
@@ -31,6 +33,7 @@ import hashlib
 import math
 import random
 import warnings
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +46,7 @@ from .scratch import materialize, ship
 MAX_RATE, RECALL, BYTES_PER_PASS = 0.2, 0.95, 500_000
 WALK, STRIDE, SAMPLED, SPAN, MOST_TABLES, TRIALS, DRAWS = 64, 8, 24, 40, 64, 200, 4
 FEW = 200  # pairs that are compared one by one rather than side by side
+MOST_PLACES, MOST_CELLS = 1 << 18, 1 << 23  # places that are held at once, bytes of text that are laid side by side
 MIX, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 TEXT_END, ITEM_END = b"\0" * WALK, b"\xff" * WALK  # neither is in a normal text, so ends of texts and of items don't meet
 
@@ -74,15 +78,25 @@ def substring_distance(pattern: bytes, text: bytes) -> int:
     return best
 
 
-def substring_distances(patterns: list[bytes], which: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Least edit distance of patterns[which[k]] to any substring of texts[k]: bit-parallel, all pairs at once.
+def _side_by_side(blocks: np.ndarray, lengths: np.ndarray):
+    """(blocks of the patterns, rows) of pairs with equally many blocks and similar texts, that fill MOST_CELLS at most."""
+    for n_blocks in np.unique(blocks).tolist():
+        rows = np.flatnonzero(blocks == n_blocks)
+        rows = rows[np.argsort(-lengths[rows], kind="stable")]
+        while len(rows):
+            n = max(1, MOST_CELLS // max(int(lengths[rows[0]]), 64 * n_blocks))
+            yield n_blocks, rows[:n]
+            rows = rows[n:]
+
+
+def substring_distances(patterns: list[bytes], which: np.ndarray, texts: list[bytes] | list[memoryview]) -> np.ndarray:
+    """Least edit distance of patterns[which[k]] to any substring of texts[k]: bit-parallel, many pairs at once.
 
     Patterns lie in blocks of 64 bits; a block hands the change at its upper end to the next one.
     """
     out = np.empty(len(texts), np.int64)
     blocks = -(-np.array([len(patterns[p]) for p in which], np.int64) // 64)
-    for n_blocks in np.unique(blocks).tolist():
-        rows = np.flatnonzero(blocks == n_blocks)
+    for n_blocks, rows in _side_by_side(blocks, np.array(list(map(len, texts)), np.int64)):
         if len(rows) < FEW:
             out[rows] = [substring_distance(patterns[which[r]], texts[r]) for r in rows.tolist()]
             continue
@@ -199,28 +213,48 @@ class Search:
         return n, float(reached[n - 1])
 
 
-def _distinct(rows: np.ndarray) -> np.ndarray:
-    """The distinct rows in order."""
-    rows = rows[np.lexsort(rows.T[::-1])]
-    return rows[np.append(True, (rows[1:] != rows[:-1]).any(1))] if len(rows) else rows
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """Rows of (text, item, begin, end) in order; stretches of one text and item that meet are one."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+    above = np.cumsum(new) << 40  # no end is as large, so a pair's ends stay above the pairs' before it
+    end = np.maximum.accumulate(rows[:, 3] + above) - above
+    new[1:] |= rows[1:, 2] > end[:-1]
+    cuts = np.flatnonzero(new)
+    return np.column_stack([rows[cuts, :3], end[np.append(cuts[1:], len(rows)) - 1 if len(cuts) else cuts]])
 
 
 class Matcher:
-    """find(texts) -> (row, item number, distance) of each leak."""
+    """find(texts) -> (row, item number, distance) of each leak; matches(texts) hands them on as they are found."""
 
     def __init__(self, items: Search | list[bytes]):
         import ahocorasick
 
         self.search = search = items if isinstance(items, Search) else Search(items)
         items = search.items
+        self.sizes = np.array(list(map(len, items)), np.int64)
+        self.most = (search.rate * self.sizes).astype(np.int64)
         long = [k for k, x in enumerate(items) if len(x) >= WALK]
         flat = np.frombuffer(b"".join(items[k] + ITEM_END for k in long) + b"\xff", np.uint8)
         sizes = np.array([len(items[k]) for k in long], np.int64)
-        self.owner = np.repeat(np.array(long, np.int64), sizes)
-        self.offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        keys = search.keys(flat, np.repeat(np.cumsum(sizes + WALK) - sizes - WALK, sizes) + self.offset)
-        order = np.argsort(keys, axis=None, kind="stable")
-        self.key, self.where = keys.ravel()[order], (order % max(1, keys.shape[1])).astype(np.int32)
+        owners = np.repeat(np.array(long, np.int64), sizes)
+        offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys = search.keys(flat, np.repeat(np.cumsum(sizes + WALK) - sizes - WALK, sizes) + offsets)
+        # a key's first and last place in each item that has it
+        names, who, least, most = [], [], [], []
+        for row in keys:
+            order = np.argsort(row, kind="stable")
+            key, owner, at = row[order], owners[order], offsets[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            names.append(key[new])
+            who.append(owner[new].astype(np.int32))
+            least.append(at[new].astype(np.int32))
+            most.append(at[np.append(new[1:], True)[: len(at)]].astype(np.int32))
+        names = np.concatenate(names)
+        order = np.argsort(names, kind="stable")
+        self.key, self.item, self.first, self.last = (np.concatenate(x)[order] for x in ([names], who, least, most))
         self.seen = np.zeros(1 << 24, bool)
         self.seen[(self.key >> np.uint64(40)).astype(np.int64)] = True
         # short items: one part more than edits
@@ -237,48 +271,80 @@ class Matcher:
         if parts:
             self.parts.make_automaton()
 
-    def places(self, docs: list[bytes], at_once: int = 12_000) -> np.ndarray:
-        """Rows of (text, item, place in the text where the item would begin): every shared key's."""
+    def places(self, docs: list[bytes], at_once: int = 12_000):
+        """Rows of (text, item, begin, end) of the stretches where long items may lie, every shared key's, by text."""
         sizes = np.array(list(map(len, docs)), np.int64)
         data = np.frombuffer(TEXT_END.join(docs) + TEXT_END + b"\0", np.uint8)
-        first = np.cumsum(sizes + WALK) - sizes - WALK
-        out = [np.empty((0, 3), np.int64)]
+        begins = np.cumsum(sizes + WALK) - sizes - WALK
         for a in range(0, (len(data) - WALK - 1) if len(self.key) else 0, at_once * STRIDE):
             starts = np.arange(a, min(a + at_once * STRIDE, len(data) - WALK - 1), STRIDE)
             keys = self.search.keys(data, starts).ravel()
             hit = np.flatnonzero(self.seen[(keys >> np.uint64(40)).astype(np.int64)])
             low = np.searchsorted(self.key, keys[hit], "left")
             n = np.searchsorted(self.key, keys[hit], "right") - low
-            pick = self.where[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            at = np.repeat(starts[hit % len(starts)], n)
-            text = np.searchsorted(first, at, "right") - 1
-            out.append(_distinct(np.stack([text, self.owner[pick], at - first[text] - self.offset[pick]], axis=1)))
-        if self.parts is not None:
-            more = [(text, k, last - size + 1 - a) for text, doc in enumerate(docs) for last, (size, places) in self.parts.iter(doc.decode("latin-1")) for k, a in places]
-            out.append(np.array(more, np.int64).reshape(-1, 3))
-        return _distinct(np.concatenate(out))
-
-    def find(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
+            window = hit % len(starts)
+            order = np.argsort(window, kind="stable")
+            total = np.cumsum(n[order])
+            if not len(total) or not total[-1]:
+                continue
+            # window by window, so that all tables' places of a text come together
+            for part in np.split(order, np.unique(np.searchsorted(total, np.arange(MOST_PLACES, total[-1], MOST_PLACES)))):
+                many = n[part]
+                pick = np.repeat(low[part] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                if not len(pick):
+                    continue
+                at = np.repeat(starts[window[part]], many)
+                text, item = np.searchsorted(begins, at, "right") - 1, self.item[pick]
+                at -= begins[text]
+                yield _joined(np.column_stack([text, item, at - self.last[pick] - self.most[item], at - self.first[pick] + self.sizes[item] + self.most[item]]))
+
+    def short_places(self, docs: list[bytes]):
+        """The same for items of less than WALK bytes, by their parts."""
+        rows = array("q")
+
+        def stretches() -> np.ndarray:
+            text, item, at = np.array(rows, np.int64).reshape(-1, 3).T
+            return _joined(np.column_stack([text, item, at - self.most[item], at + self.sizes[item] + self.most[item]]))
+
+        for text, doc in enumerate(docs if self.parts is not None else []):
+            for last, (size, places) in self.parts.iter(doc.decode("latin-1")):
+                for k, a in places:
+                    rows.extend((text, k, last - size + 1 - a))
+                if len(rows) > 3 * MOST_PLACES:
+                    yield stretches()
+                    rows = array("q")
+        if rows:
+            yield stretches()
+
+    def matches(self, texts: list[str | None]):
+        """Lists of (row, item number, distance) of the leaks, each leak once, of bounded size unless one text has more."""
         docs = [normal(t) for t in texts]
-        text, item, at = self.places(docs).T
-        size = np.array(list(map(len, self.search.items)), np.int64)[item]
-        most = (self.search.rate * size).astype(np.int64)
-        begin, end = np.maximum(at - most, 0), np.minimum(at + size + most, np.array(list(map(len, docs)), np.int64)[text])
-        # places of one text and item whose stretches meet are one stretch
-        apart = np.ones(len(text), bool)
-        apart[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
-        cuts = np.flatnonzero(apart)
-        lasts = np.append(cuts[1:], len(text)) - 1 if len(text) else cuts
-        out: dict[tuple[int, int], int] = {}
-        order = np.argsort(size[cuts], kind="stable")  # pairs of one size are compared side by side
-        cuts, lasts = cuts[order], lasts[order]
-        for k in range(0, len(cuts), 5000):
-            some, ends = cuts[k : k + 5000], end[lasts[k : k + 5000]]
-            stretch = [docs[t][a:b] for t, a, b in zip(text[some].tolist(), begin[some].tolist(), ends.tolist())]
-            for t, i, d in zip(text[some].tolist(), item[some].tolist(), substring_distances(self.search.items, item[some], stretch).tolist()):
-                if d <= self.search.most(i):
+        for places in (self.places(docs), self.short_places(docs)):  # no item is in both
+            held, out = [], {}
+            for rows in places:
+                held.append(rows)
+                if sum(map(len, held)) > MOST_PLACES:
+                    self._compare(docs, held, out)
+                    last = int(rows[-1, 0])  # the rows to come are of this text or later ones
+                    yield [(t, i, d) for (t, i), d in out.items() if t < last]
+                    held, out = [], {(t, i): d for (t, i), d in out.items() if t >= last}
+            if held:
+                self._compare(docs, held, out)
+            yield [(t, i, d) for (t, i), d in out.items()]
+
+    def _compare(self, docs: list[bytes], held: list[np.ndarray], out: dict[tuple[int, int], int]) -> None:
+        """Adds to out the least distance of each (text, item) with a stretch close enough."""
+        rows = _joined(np.concatenate(held))
+        rows = rows[np.argsort(self.sizes[rows[:, 1]], kind="stable")]  # pairs of one size are compared side by side
+        for k in range(0, len(rows), 5000):
+            some = rows[k : k + 5000].tolist()
+            stretch = [memoryview(docs[t])[max(a, 0) : max(b, 0)] for t, _, a, b in some]
+            for (t, i, _, _), d in zip(some, substring_distances(self.search.items, rows[k : k + 5000, 1], stretch).tolist()):
+                if d <= self.most[i]:
                     out[t, i] = min(d, out.get((t, i), d))
-        return [(t, i, d) for (t, i), d in sorted(out.items())]
+
+    def find(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
+        return sorted(x for part in self.matches(texts) for x in part)
 
 
 _matchers: dict[str, Matcher] = {}
@@ -313,9 +379,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             import pyarrow as pa
 
             for batch in text_batches(batches, most_bytes=8_000_000):
-                hits = matcher_of(search).find(batch.column("text").to_pylist())
-                rows = batch.column("doc_id").take(pa.array([r for r, _, _ in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows, pa.array([keys[i] for _, i, _ in hits], pa.string()), pa.array([d for *_, d in hits], pa.int64())], ["doc_id", "item_key", "distance"])
+                for hits in matcher_of(search).matches(batch.column("text").to_pylist()):
+                    rows = batch.column("doc_id").take(pa.array([r for r, _, _ in hits], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([rows, pa.array([keys[i] for _, i, _ in hits], pa.string()), pa.array([d for *_, d in hits], pa.int64())], ["doc_id", "item_key", "distance"])
 
         part = docs.mapInArrow(found, "doc_id long, item_key string, distance long")
         out = part if out is None else out.unionByName(part)
@@ -333,7 +399,8 @@ def remove_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
 
             for batch in text_batches(batches, most_bytes=8_000_000):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r for r, _, _ in matcher_of(search).find(batch.column("text").to_pylist())]] = False
+                for hits in matcher_of(search).matches(batch.column("text").to_pylist()):
+                    keep[[r for r, _, _ in hits]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
