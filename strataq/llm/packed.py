@@ -6,10 +6,11 @@ key however often the block has it, so no key is hot.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .scratch import fresh_path, remember_table
 
@@ -110,6 +111,22 @@ def bucketed(df: DataFrame, name: str, key: str, size: int = 0) -> DataFrame:
     return spark.table(table)
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Queries run within delete their shuffle files when they end; otherwise these stay until the driver collects garbage.
+
+    It is a setting of the session, so it holds for what other threads start there meanwhile: a DataFrame of theirs that is
+    run again then writes its shuffle files again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """A model table, partitioned by kind."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)

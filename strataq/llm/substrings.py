@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..operators.partition import estimated_bytes
 from . import bwt
 from .bpe import text_batches
-from .packed import bucket_of, bucketed, columns_of, framed, narrow, pack_sorted, release, requests, squeeze, store, swell, to_table, unpack_sorted
+from .packed import brief_shuffles, bucket_of, bucketed, columns_of, framed, narrow, pack_sorted, release, requests, squeeze, store, swell, to_table, unpack_sorted
 from .scratch import ship
 
 LENGTH, GRAM, BLOCK_BYTES, HOT_BLOCKS, BUCKET_BYTES = 50, 24, 5_000_000, 64, 32_000_000
@@ -484,12 +484,14 @@ def deduplicate(docs: DataFrame, digest: bool = False, hot_blocks: int = HOT_BLO
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     blocks = bucketed(docs.mapInArrow(make_blocks, BLOCK), "bwt_blocks", "block", estimated_bytes(docs))
-    size = blocks.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
-    answers = store(text_answers(text_requests(blocks, buckets)), "bwt_texts")
-    answers = answers.unionByName(store(anchor_answers(anchor_requests(blocks, answers, buckets), hot_blocks), "bwt_anchors"))
-    answers = answers.unionByName(store(unit_answers(unit_requests(blocks, answers, buckets)), "bwt_units"))
-    answers = answers.unionByName(store(shard_answers(shard_requests(blocks, answers, buckets)), "bwt_shards"))
+    # the exchanges of all steps are larger than the input; each step's go before the next one's are written
+    with brief_shuffles(spark):
+        size = blocks.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
+        answers = store(text_answers(text_requests(blocks, buckets)), "bwt_texts")
+        answers = answers.unionByName(store(anchor_answers(anchor_requests(blocks, answers, buckets), hot_blocks), "bwt_anchors"))
+        answers = answers.unionByName(store(unit_answers(unit_requests(blocks, answers, buckets)), "bwt_units"))
+        answers = answers.unionByName(store(shard_answers(shard_requests(blocks, answers, buckets)), "bwt_shards"))
     return kept_texts(blocks, answers, buckets, digest)
 
 
